@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, sharding
+from . import dac, packing, quality, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,22 @@ def op4_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_digest(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digest(_table(spark, sf_dir, "documents"), window=20)
+
+
+def op10_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, budget=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
