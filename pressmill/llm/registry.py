@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, quality, sharding, simhash, substrings
+from . import ctph, dac, lexicon, neighbours, packing, quality, secrets, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         _table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=1
@@ -30,10 +38,18 @@ def op4_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_digest(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.bpe_digest(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.fingerprint_table(_table(spark, sf_dir, "documents"))
+
+
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=24)
 
