@@ -18,7 +18,7 @@ PIVOTS = 256
 #: Nearest pivots that represent a vector, in order.
 PREFIX = 64
 #: Different vectors in a block of the index, and share of a block that is reranked exactly.
-BLOCK, RERANK = 8192, 0.15
+BLOCK, RERANK = 8192, 0.2
 QUERIES = 2048
 
 
