@@ -25,7 +25,7 @@ MEMORY_LIMIT = 500_000
 #: Documents looked up together.
 _GROUP = 256
 #: White space of Unicode, as the vocabulary file's patterns see it.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+_SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _OTHER_SPLITS = "\x1c\x1d\x1e\x1f"
 
 
