@@ -21,7 +21,7 @@ from .tokens import byte_alphabet
 #: Words compiled into the transducer: the most frequent ones of the whole corpus.
 LEXICON_WORDS = 50_000
 #: Pieces that a worker remembers; past it, it forgets all and starts again.
-MEMORY_LIMIT = 500_000
+MEMORY_LIMIT = 250_000
 #: Documents looked up together.
 _GROUP = 256
 #: White space of Unicode, as the vocabulary file's patterns see it.
