@@ -1,19 +1,420 @@
-"""Registered queries over the page tables."""
+"""Registered queries of the page engine, each with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import columns as C
+from ..functions import dates
+from ..functions.scalar import IMAGE_BAD, IMAGE_GOOD
+from ..operators import extract as E
+from ..operators import pages as P
+from ..operators import rules as R
+from ..operators.scoring import NEGATIVE, POSITIVE
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+#: Relative dates count from here, so that results stay the same.
+NOW = datetime(2024, 1, 1, tzinfo=UTC)
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
 
+    return register
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession) -> int:
+    """Partitions for kernel work on tables that come in few files."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def articles(spark: SparkSession, sf_dir: str, **opts) -> DataFrame:
+    return E.extract_articles(table(spark, sf_dir, "pages"), E.Options(now=NOW, **opts), parts=dealt(spark))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir)
+
+
+# -- kernel -----------------------------------------------------------------------
+
+
+@query()
+def article_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir)
+
+
+@query()
+def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir, content_type="markdown", fields=("title", "content", "word_count", "error", "message"))
+
+
+@query()
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir, content_type="text", fields=("content", "excerpt"))
+
+
+@query()
+def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that need no content: the content passes are not run for them."""
+    return articles(spark, sf_dir, fields=("title", "author", "date_published", "next_page_url", "url", "domain", "direction"))
+
+
+@query()
+def article_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extend = {"links": {"selectors": ["nav a"], "allow_multiple": True}, "headline": {"selectors": ["article h1"]}}
+    return articles(spark, sf_dir, extend=extend, fields=("extend",)).select("page_id", F.map_entries("extend").alias("extend"))
+
+
+@query()
+def article_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's rule for some hosts, by their base domain."""
+    rule = {"domain": "example.com", "title": ["article h1"], "author": {"value": "Example"}, "content": {"selectors": ["article"], "clean": ["h1"], "transforms": [["b", {"tag": "strong"}]]}}
+    return articles(spark, sf_dir, rules=(rule,), fields=("title", "author", "content", "domain"))
+
+
+@query()
+def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").repartition(dealt(spark))
+    return P.extract_whole_articles(pages, E.Options(now=NOW), on_error="stop")
+
+
+@query(
+    r"""
+    SELECT page_id,
+      CASE WHEN t LIKE '%: %' OR t LIKE '% - %' OR t LIKE '% | %' THEN NULL ELSE t END AS title
+    FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(
+        regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'),
+        '[\s]{2,}', ' ', 'g')) AS t FROM pages)
+    """
+)
+def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by the kernel; those with a splitter in the heading are left null, as SQL does not resolve them."""
+    heads = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    got = articles(spark, sf_dir, fields=("title",)).join(heads, "page_id")
+    return got.select("page_id", F.when(~F.col("h1").rlike(": | - | \\| "), F.col("title")).alias("title"))
+
+
+@query(
+    r"""
+    SELECT page_id, 'li' AS tag, len(regexp_extract_all(html, '<li>'))::BIGINT AS n FROM pages WHERE html LIKE '%<li>%'
+    UNION ALL SELECT page_id, 'h1', len(regexp_extract_all(html, '<h1>'))::BIGINT FROM pages WHERE html LIKE '%<h1>%'
+    UNION ALL SELECT page_id, 'article', len(regexp_extract_all(html, '<article>'))::BIGINT FROM pages WHERE html LIKE '%<article>%'
+    """
+)
+def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = E.explode_nodes(table(spark, sf_dir, "pages").repartition(dealt(spark)))
+    return nodes.filter(F.col("tag").isin("li", "h1", "article")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def link_density_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link density of every article and nav, relationally: texts below it, by ranges of node ids."""
+    nodes = E.explode_nodes(table(spark, sf_dir, "pages").repartition(dealt(spark)))
+    texts = nodes.filter("kind = 'text'").select("page_id", F.col("node_id").alias("t"), "text")
+    boxes = nodes.filter(F.col("tag").isin("article", "nav")).select("page_id", F.col("node_id").alias("box"), "last_id", "tag")
+    links = nodes.filter("tag = 'a'").select("page_id", F.col("node_id").alias("a"), F.col("last_id").alias("a_last"))
+    inside = boxes.join(texts, "page_id").filter("t > box AND t <= last_id")
+    linked = inside.join(links, "page_id", "left").withColumn("in_link", (F.col("t") > F.col("a")) & (F.col("t") <= F.col("a_last")))
+    size = F.octet_length(F.trim("text"))
+    per_text = linked.groupBy("page_id", "box", "tag", "t").agg(F.max(size).alias("size"), F.coalesce(F.max("in_link"), F.lit(False)).alias("in_link"))
+    return per_text.groupBy("page_id", "box", "tag").agg(F.try_divide(F.sum(F.when(F.col("in_link"), F.col("size")).otherwise(0)), F.sum("size")).alias("density"))
+
+
+@query()
+def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of every page's host, exact or by base domain, as two joins with the rules' keys (below 200)."""
+    keys = [(key, rule["domain"], k) for k, rule in enumerate(R.built_in_rules()) for key in [rule["domain"], *rule.get("aliases", ())]]
+    book = F.broadcast(spark.createDataFrame(keys, "key string, rule string, place int").groupBy("key").agg(F.min_by("rule", "place").alias("rule")))
+    pages = table(spark, sf_dir, "pages").select("page_id", C.url_host(F.col("url")).alias("host"))
+    exact = pages.join(book.select(F.col("key").alias("host"), F.col("rule").alias("exact")), "host", "left")
+    based = exact.withColumn("base", C.base_domain(F.col("host"))).join(book.select(F.col("key").alias("base"), F.col("rule").alias("by_base")), "base", "left")
+    return based.select("page_id", "host", F.coalesce("exact", "by_base").alias("rule"))
+
+
+# -- columns over addresses ---------------------------------------------------------------
+
+
+@query(r"SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS domain FROM pages")
+def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", C.url_host(F.col("url")).alias("domain"))
+
+
+@query(
+    r"""
+    SELECT list_aggregate(list_slice(string_split(h, '.'), -2, -1), 'string_agg', '.') AS base_domain, count(*) AS n
+    FROM (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS h FROM pages) GROUP BY 1
+    """
+)
+def base_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = C.url_host(F.col("url"))
+    return table(spark, sf_dir, "pages").groupBy(C.base_domain(host).alias("base_domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, rtrim(split_part(url, '#', 1), '/') AS address FROM pages")
+def remove_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.remove_anchor(F.col("url")).alias("address"))
+
+
+_PAGE = r"(page|paging|(p(a|g|ag)?(e|enum|ewanted|ing|ination)))?(=|/)([0-9]{1,3})"
+
+
+@query(
+    f"""
+    SELECT page_id, CASE WHEN n < 100 THEN n END AS page_number
+    FROM (SELECT page_id, TRY_CAST(regexp_extract(url, '{_PAGE}', 6) AS INTEGER) AS n FROM pages)
+    """
+)
+def page_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.page_number(F.col("url")).alias("page_number"))
+
+
+@query(
+    f"""
+    WITH parts AS (
+      SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host,
+        list_reverse(string_split(CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+          ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) END, '/')) AS segs FROM pages),
+    named AS (SELECT page_id, scheme, host, i, CASE WHEN regexp_matches(s, '^[^.]*\\.[a-z]+$') THEN split_part(s, '.', 1) ELSE s END AS s
+      FROM (SELECT page_id, scheme, host, unnest(segs) AS s, generate_subscripts(segs, 1) - 1 AS i FROM parts)),
+    cut AS (SELECT page_id, scheme, host, i, CASE WHEN i < 2 THEN regexp_replace(s, '{_PAGE}', '') ELSE s END AS s FROM named),
+    led AS (SELECT *, max(CASE WHEN i = 0 AND regexp_matches(s, '[a-z]') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id) AS letters FROM cut)
+    SELECT page_id, any_value(scheme) || '://' || any_value(host) || coalesce(string_agg(s, '/' ORDER BY i DESC)
+      FILTER (NOT (i = 0 AND lower(s) = 'index') AND NOT (i < 2 AND strlen(s) < 3 AND letters = 0)), '') AS base_url
+    FROM led GROUP BY page_id
+    """.replace("\\\\", "\\")
+)
+def article_base_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.article_base_url(F.col("url")).alias("base_url"))
+
+
+@query(
+    f"""
+    SELECT page_id, (CASE WHEN regexp_matches(u, '(?i){IMAGE_GOOD}') THEN 20 ELSE 0 END
+      - CASE WHEN regexp_matches(u, '(?i){IMAGE_BAD}') THEN 20 ELSE 0 END
+      - CASE WHEN regexp_matches(u, '(?i)\\.gif(\\?.*)?$') THEN 10 ELSE 0 END
+      + CASE WHEN regexp_matches(u, '(?i)\\.jpe?g(\\?.*)?$') THEN 10 ELSE 0 END)::INTEGER AS score
+    FROM (SELECT page_id, trim(url) || CASE WHEN page_id % 2 = 0 THEN '/photo.jpg' ELSE '/icon.gif?x=1' END AS u FROM pages)
+    """
+)
+def image_url_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("page_id") % 2 == 0, "/photo.jpg").otherwise("/icon.gif?x=1")
+    image = F.concat(F.trim("url"), name)
+    return table(spark, sf_dir, "pages").select("page_id", C.image_url_score(image).alias("score"))
+
+
+@query(
+    r"""
+    SELECT page_id, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS ratio
+    FROM (SELECT page_id, lower(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ', '')) AS a,
+      regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '\.com$|\.net$|\.org$|\.co\.uk$', '') AS b FROM pages)
+    """
+)
+def title_domain_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slug = F.lower(F.replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" "), F.lit("")))
+    site = F.regexp_replace(C.url_host(F.col("url")), r"\.com\z|\.net\z|\.org\z|\.co\.uk\z", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.round(C.levenshtein_ratio(slug, site), 9).alias("ratio"))
+
+
+_LINKS = r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href,
+  generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) AS place FROM pages"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("at", "href")).select("page_id", "href", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query(f"SELECT page_id, count(*) AS links, count(DISTINCT href) AS addresses FROM ({_LINKS}) GROUP BY page_id")
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("href").alias("addresses"))
+
+
+@query(f"SELECT page_id, href, max(place) AS place FROM ({_LINKS}) GROUP BY page_id, href")
+def link_last_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated addresses keep their last place."""
+    last = Window.partitionBy("page_id", "href").orderBy(F.desc("place"))
+    return links(spark, sf_dir).withColumn("r", F.row_number().over(last)).filter("r = 1").drop("r")
+
+
+_CHAIN = "SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id + 1 < 100 THEN 'p' || (page_id + 1) END AS next_url FROM pages WHERE page_id < 100"
+
+
+@query(
+    f"""
+    WITH RECURSIVE links AS ({_CHAIN}), chain AS (
+      SELECT url AS start, 1 AS number, url, next_url FROM links
+      UNION ALL SELECT c.start, c.number + 1, l.url, l.next_url FROM chain c JOIN links l ON c.next_url = l.url WHERE c.number < 26)
+    SELECT start, number, url FROM chain
+    """
+)
+def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains over a table of links made up from page ids: sevens of consecutive pages."""
+    at = F.col("page_id")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    following = F.when((at % 7 != 6) & (at + 1 < 100), name(at + 1))
+    made = table(spark, sf_dir, "pages").filter("page_id < 100").select(name(at).alias("url"), following.alias("next_url"))
+    return P.chain_links(made)
+
+
+# -- columns over texts ---------------------------------------------------------------------
+
+_WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_PACKED = f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, list_aggregate(list_slice(string_split({_PACKED}, ' '), 1, 10), 'string_agg', ' ') AS words FROM documents")
+def excerpt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.first_words(F.col("text"), 10).alias("words"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_WS}{{2,}}', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')) AS digest FROM documents")
+def normalize_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.normalize_spaces(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_PACKED} = '' THEN 0 ELSE len(string_split({_PACKED}, ' ')) END::INTEGER AS words FROM documents")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.word_count(F.col("text")).alias("words"))
+
+
+@query(
+    f"""
+    WITH t AS (SELECT doc_id, {_PACKED} AS p FROM documents),
+    fit AS (SELECT doc_id, p, (SELECT max(k) FROM range(0, 201) r(k) WHERE k <= length(p) AND strlen(left(p, k)) <= 200) AS k FROM t)
+    SELECT doc_id, CASE WHEN strlen(p) <= 200 THEN p
+      WHEN left(p, k) LIKE '% %' THEN regexp_extract(left(p, k), '^(.*) ', 1) || '&hellip;' ELSE left(p, k) || '&hellip;' END AS excerpt FROM fit
+    """
+)
+def clean_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.clean_excerpt(F.col("text")).alias("excerpt"))
+
+
+_RTL = r"\x{0592}-\x{05FD}\x{0602}-\x{06FD}\x{07C2}-\x{07FD}\x{0702}-\x{074D}\x{0782}-\x{07BD}\x{2D32}-\x{2D7D}"
+
+
+@query(
+    f"""
+    SELECT doc_id, CASE WHEN l AND r THEN 'bidi' WHEN l THEN 'ltr' WHEN r THEN 'rtl' END AS direction FROM (
+      SELECT doc_id, r, regexp_matches(t, '[^{_WS[1:-1]}\\x00''"\\-+?!0-9{_RTL}]') OR (NOT r AND regexp_matches(t, '[0-9]')) AS l FROM (
+        SELECT doc_id, t, regexp_matches(t, '[{_RTL}]') AS r
+        FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(1488) || chr(1489) ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '12' ELSE text END AS t FROM documents)))
+    """
+)
+def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts, some of which are made Hebrew or numbers."""
+    made = F.concat(
+        F.when(F.col("doc_id") % 4 == 0, chr(1488) + chr(1489)).otherwise(""),
+        F.when(F.col("doc_id") % 3 == 0, "12").otherwise(F.col("text")),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", C.direction(made).alias("direction"))
+
+
+@query(
+    f"""
+    SELECT doc_id, round(CASE WHEN n < 25 THEN 0.0 ELSE 1.0 + c + least(greatest(n / 50.0 - 2.0, 0.0), 3.0) - CASE WHEN t LIKE '%:' THEN 1.0 ELSE 0.0 END END, 9)::DOUBLE AS score
+    FROM (SELECT doc_id, t, strlen(t) AS n, length(t) - length(replace(t, ',', '')) AS c
+      FROM (SELECT doc_id, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents))
+    """
+)
+def paragraph_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(C.paragraph_score(F.col("text")).cast("double"), 9).alias("score"))
+
+
+@query(
+    f"""
+    SELECT p_partkey, (CASE WHEN regexp_matches(p_name, '{POSITIVE}') THEN 25 ELSE 0 END
+      - CASE WHEN regexp_matches(p_name, '{NEGATIVE}') THEN 25 ELSE 0 END)::INTEGER AS weight FROM part
+    """
+)
+def hint_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", C.hint_weight(F.col("p_name")).alias("weight"))
+
+
+@query(
+    """
+    SELECT o_orderkey, strftime(CASE o_orderkey % 4 WHEN 1 THEN date_trunc('minute', o_orderdate) WHEN 2 THEN date_trunc('day', o_orderdate)
+      ELSE date_trunc('second', o_orderdate) END, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM orders
+    """
+)
+def iso_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written in four of the plain formats, and read again."""
+    at, kind = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    raw = (
+        F.when(kind == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+        .when(kind == 1, F.date_format(at, "MMM d, yyyy HH:mm"))
+        .when(kind == 2, F.date_format(at, "MMMM d, yyyy"))
+        .otherwise(F.unix_seconds(at).cast("string"))
+    )
+    odd = F.when(raw.rlike("^[0-9]{1,9}$"), F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.iso_date(odd).alias("iso"))
+
+
+@query(
+    f"""
+    SELECT o_orderkey, CASE WHEN status <> 200 THEN '{E.NON_200.split("{}")[0]}' || status || '{E.NON_200.split("{}")[1]}'
+      WHEN lower(trim(kind)) IN ('audio/mpeg', 'image/gif', 'image/jpeg', 'image/jpg') THEN '{E.BAD_TYPE.split("{}")[0]}' || kind || '{E.BAD_TYPE.split("{}")[1]}'
+      WHEN size > 5242880 THEN '{E.TOO_LARGE}'
+      WHEN NOT (kind LIKE '%html%' OR kind LIKE '%text%') THEN '{E.NOT_TEXT}' END AS message
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 404 ELSE 200 END AS status, o_orderkey * 1000 AS size,
+      CASE o_orderkey % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' image/JPEG' ELSE 'application/pdf' END AS kind FROM orders)
+    """
+)
+def response_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "text/html; charset=utf-8").when(k % 3 == 1, " image/JPEG").otherwise("application/pdf")
+    status = F.when(k % 5 == 0, 404).otherwise(200)
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.validation_message(status, kind, k * 1000).alias("message"))
+
+
+@query(
+    """
+    SELECT conv_id, count(*)::INTEGER AS pages, string_agg(CASE WHEN n = 1 THEN t ELSE '<hr><h4>Page ' || n || '</h4>' || t END, '' ORDER BY n) AS content
+    FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, coalesce(text, '') AS t FROM conversations)
+    WHERE n <= 26 GROUP BY conv_id
+    """
+)
+def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as pages of an article: at most 26, with a break before each but the first."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= P.MAX_PAGES)
+    text = F.coalesce("text", F.lit(""))
+    piece = F.when(F.col("n") == 1, text).otherwise(F.concat(P.page_break(F.col("n")), text))
+    pieces = F.sort_array(F.collect_list(F.struct("n", piece.alias("html"))))
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("pages"), F.array_join(F.transform(pieces, lambda x: x["html"]), "").alias("content"))
+
+
+@query("SELECT event_id, json_extract_string(replace(props, '\"k\"', '\"src\"'), '$.src') AS src FROM events")
+def json_src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", C.json_src(F.replace("props", F.lit('"k"'), F.lit('"src"'))).alias("src"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name ELSE 'x by ' || s_name END AS author FROM supplier")
+def clean_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    raw = F.concat(F.when(k == 0, "  By: ").when(k == 1, "Posted by ").otherwise("x by "), F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", C.clean_author(raw).alias("author"))
