@@ -86,17 +86,11 @@ def text_bytes(text: Column) -> Column:
 def ellipsize(text: Column, limit: int, mark: str) -> Column:
     """At most ``limit`` bytes, cut at the last space within them where there is one, and the mark.
 
-    The cut looks at prefixes of characters whose bytes fit: a text of n bytes has n characters at most.
+    The cut is made in bytes; what it leaves of a character turns into a
+    replacement character, which goes.
     """
-    fits = F.aggregate(
-        F.sequence(F.lit(1), F.lit(limit)),
-        F.struct(F.lit(0).alias("chars"), F.lit(0).alias("bytes")),
-        lambda s, k: F.when(
-            (s["chars"] == k - 1) & (s["bytes"] + F.octet_length(F.substr(text, k, F.lit(1))) <= limit),
-            F.struct(k.alias("chars"), (s["bytes"] + F.octet_length(F.substr(text, k, F.lit(1)))).alias("bytes")),
-        ).otherwise(s),
-    )["chars"]
-    head = F.when(F.octet_length(text) == F.length(text), F.substring(text, 1, limit)).otherwise(F.substr(text, F.lit(1), fits))
+    part = F.substring(text.cast("binary"), 1, limit).cast("string")
+    head = F.rtrim(F.make_valid_utf8(part), F.lit(chr(0xFFFD)))
     cut = F.regexp_extract(head, r"(?s)^(.*) ", 1)
     shorter = F.when(head.contains(" "), F.regexp_replace(cut, r"(?U)\s+\z", "")).otherwise(head)
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(shorter, F.lit(mark)))

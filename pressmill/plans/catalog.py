@@ -230,12 +230,13 @@ def image_url_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     SELECT page_id, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS ratio
-    FROM (SELECT page_id, lower(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ', '')) AS a,
+    FROM (SELECT page_id, lower(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '[^!-~]', '', 'g')) AS a,
       regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '\.com$|\.net$|\.org$|\.co\.uk$', '') AS b FROM pages)
     """
 )
 def title_domain_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slug = F.lower(F.replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" "), F.lit("")))
+    """Of the ASCII part of titles, as SQL counts bytes where this counts characters."""
+    slug = F.lower(F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), "[^!-~]", ""))
     site = F.regexp_replace(C.url_host(F.col("url")), r"\.com\z|\.net\z|\.org\z|\.co\.uk\z", "")
     return table(spark, sf_dir, "pages").select("page_id", F.round(C.levenshtein_ratio(slug, site), 9).alias("ratio"))
 
@@ -363,7 +364,7 @@ def hint_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def iso_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written in four of the plain formats, and read again."""
-    at, kind = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    at, kind = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4
     raw = (
         F.when(kind == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
         .when(kind == 1, F.date_format(at, "MMM d, yyyy HH:mm"))
