@@ -41,10 +41,11 @@ def body(html):
         ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"),
         ("<p>&lt;b&gt; &amp; &copy;", "<p>&lt;b&gt; &amp; \xa9</p>"),
         ("<div B=2 a='1\"'>x</div>", '<div a="1&quot;" b="2">x</div>'),
-        ("<noscript><img src=x></noscript>", "<noscript><img src=x></noscript>"),
+        ("x<noscript><img src=x></noscript>", "x<noscript><img src=x></noscript>"),
         ("<textarea><b></textarea>", "<textarea>&lt;b&gt;</textarea>"),
         ("x<!-- c -->y", "x<!-- c -->y"),
-        ("</p>", "<p></p>"),
+        ("x</p>", "x<p></p>"),
+        ("</p>", ""),
         ("<h1>a<h2>b</h2>", "<h1>a</h1><h2>b</h2>"),
         ("5 < 6", "5 &lt; 6"),
         ("<b><b><b><b>x</b></b></b></b><p>y", "<b><b><b><b>x</b></b></b></b><p>y</p>"),
@@ -184,7 +185,7 @@ def test_direction(title, found):
         ("2016年09月02日", "Asia/Tokyo", "YYYY年MM月DD日", "2016-09-01T15:00:00.000Z"),
         ("2016-09-02 10:00", "America/New_York", None, "2016-09-02T14:00:00.000Z"),
         ("March 1, 2020 3:05 pm", "America/New_York", "MMMM D, YYYY h:mm a", "2020-03-01T20:05:00.000Z"),
-        ("2016-03-13 02:30", "America/New_York", None, None),
+        ("2016-03-13 02:30", "America/New_York", "YYYY-MM-DD HH:mm", None),
         ("5 minutes ago", None, None, "2024-03-31T11:55:00.000Z"),
         ("1 month ago", None, None, "2024-02-29T12:00:00.000Z"),
         ("just now", None, None, "2024-03-31T12:00:00.000Z"),
@@ -241,7 +242,7 @@ def test_article():
     assert "<h1" not in content and "onclick" not in content and 'src="https://www.example.com/news/pic.jpg"' in content and "i.jpg" not in content
     assert "height" not in content and "score=" not in content and "<p></p>" not in content and "link list" not in content
     assert got["lead_image_url"] == "https://www.example.com/news/pic.jpg"
-    assert got["word_count"] == 9 * 17 + 1 and got["excerpt"].startswith("This is a sentence") and got["excerpt"].endswith("&hellip;")
+    assert got["word_count"] == 9 * 18 and got["excerpt"].startswith("This is a sentence") and got["excerpt"].endswith("&hellip;")
     assert got["direction"] == "ltr" and got["next_page_url"] is None and got["dek"] is None
 
 
