@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from .html_tree import Node
 
@@ -23,23 +23,57 @@ class Invalid(ValueError):
 
 
 class Selector:
-    """A list of complex selectors; a complex one is [(combinator, compound tests), ...] from left to right."""
+    """A list of complex selectors; a complex one is [(combinator, compound tests), ...] from left to right.
+
+    A node is only tried against those whose last compound names its tag or no
+    tag, and, if it has no attributes, against those that need none.
+    """
 
     def __init__(self, chains: list[list[tuple[str, list[Test]]]]):
         self.chains = chains
+        tags = [next((t.tag for t in chain[-1][1] if isinstance(t, _Tag)), None) for chain in chains]
+        self.loose = [c for c, tag in zip(chains, tags) if tag is None]
+        self.bare = [c for c in self.loose if not any(isinstance(t, _OnAttribute) for t in c[-1][1])]
+        self.tagged = {tag: [c for c, own in zip(chains, tags) if own in (tag, None)] for tag in tags if tag}
+
+    def tried(self, node: Node) -> list:
+        return self.tagged.get(node.tag) or (self.loose if node.attrs else self.bare)
 
     def matches(self, node: Node, scope: Node | None = None) -> bool:
-        return node.is_element and any(_chain(node, chain, len(chain) - 1, scope) for chain in self.chains)
+        return node.is_element and any(_chain(node, chain, len(chain) - 1, scope) for chain in self.tried(node))
+
+    def select(self, nodes: Iterable[Node]) -> Iterator[Node]:
+        """Those of the elements that match, in their order; what lies above them counts too."""
+        for node in nodes:
+            for chain in self.tried(node):
+                if _chain(node, chain, len(chain) - 1, None):
+                    yield node
+                    break
+
+
+class _Tag:
+    def __init__(self, tag: str):
+        self.tag = tag
+
+    def __call__(self, node: Node) -> bool:
+        return node.tag == self.tag
+
 
-    def select(self, root: Node) -> Iterator[Node]:
-        """Matching elements below ``root`` in document order; ancestors above it count."""
-        return (n for n in root.elements() if self.matches(n))
+class _OnAttribute:
+    """A test that no element without attributes passes."""
+
+    def __init__(self, test: Test):
+        self.test = test
+
+    def __call__(self, node: Node) -> bool:
+        return self.test(node)
 
 
 def _chain(node: Node, chain: list, at: int, scope: Node | None) -> bool:
     combinator, tests = chain[at]
-    if not all(test(node) for test in tests):
-        return False
+    for test in tests:
+        if not test(node):
+            return False
     if at == 0:
         if scope is None:
             return True
@@ -124,19 +158,18 @@ class _Reader:
             self.at += 1
             tests.append(lambda n: True)
         elif _NAME.match(self.text, self.at):
-            tag = _plain(self.take(_NAME)[0]).lower()
-            tests.append(lambda n: n.tag == tag)
+            tests.append(_Tag(_plain(self.take(_NAME)[0]).lower()))
         while c := self.peek():
             if c == ".":
                 self.at += 1
                 name = _plain(self.take(_NAME)[0])
-                tests.append(lambda n, name=name: name in n.classes())
+                tests.append(_OnAttribute(lambda n, name=name: name in n.classes()))
             elif c == "#":
                 self.at += 1
                 name = _plain(self.take(_HASH)[0])
-                tests.append(lambda n, name=name: n.attrs.get("id") == name)
+                tests.append(_OnAttribute(lambda n, name=name: n.attrs.get("id") == name))
             elif c == "[":
-                tests.append(_attribute(self.take(_ATTRIBUTE)))
+                tests.append(_OnAttribute(_attribute(self.take(_ATTRIBUTE))))
             elif c == ":":
                 tests.append(self.pseudo())
             else:
@@ -249,12 +282,27 @@ def compile_selector(text: str) -> Selector | None:
 def select(root: Node, selector: str) -> list[Node]:
     """Matching elements below ``root`` in document order."""
     found = compile_selector(selector)
-    return list(found.select(root)) if found else []
+    return list(found.select(root.elements())) if found else []
 
 
 def first(root: Node, selector: str) -> Node | None:
     found = compile_selector(selector)
-    return next(found.select(root), None) if found else None
+    return next(found.select(root.elements()), None) if found else None
+
+
+class View:
+    """Selections below a root that does not change meanwhile: its elements are listed once."""
+
+    def __init__(self, root: Node):
+        self.root, self.nodes = root, list(root.elements())
+
+    def select(self, selector: str) -> list[Node]:
+        found = compile_selector(selector)
+        return list(found.select(self.nodes)) if found else []
+
+    def first(self, selector: str) -> Node | None:
+        found = compile_selector(selector)
+        return next(found.select(self.nodes), None) if found else None
 
 
 def matches(node: Node, selector: str) -> bool:

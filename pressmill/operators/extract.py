@@ -113,7 +113,7 @@ def generic_content(page: M.Page) -> str | None:
 
 def article_of(page: M.Page, book: R.RuleBook, opts: Options, wanted: frozenset[str]) -> dict[str, Any]:
     """The fields of one prepared page, in the order they need each other."""
-    rule = book.find(S.host_of(page.url)) or book.detect(page.root)
+    rule = book.find(S.host_of(page.url)) or book.detect(page.view)
     if rule is not None and rule["domain"] == "*":
         rule = None
     out: dict[str, Any] = dict.fromkeys(FIELDS)

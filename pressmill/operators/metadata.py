@@ -117,15 +117,16 @@ class Page:
     now: datetime | None = None
     visited: list[str] = field(default_factory=list)
     metas: dict[str, list[str]] = field(init=False)
+    view: css.View = field(init=False)
 
     def __post_init__(self):
-        self.metas = {}
-        for node in self.root.elements():
+        self.metas, self.view = {}, css.View(self.root)
+        for node in self.view.nodes:
             if node.tag == "meta" and "name" in node.attrs:
                 self.metas.setdefault(node.attrs["name"], []).append(S.trim(node.get("value")))
 
     def base(self) -> str | None:
-        node = css.first(self.root, "base[href]")
+        node = self.view.first("base[href]")
         return (S.trim(node.get("href")) or None) if node is not None else None
 
     def meta(self, names: list[str], strip: bool = True) -> str | None:
@@ -139,7 +140,7 @@ class Page:
     def place(self, selectors: list[str], most_children: int) -> str | None:
         """The text of the first selector that matches one element, plain enough and not in a comment."""
         for selector in selectors:
-            found = css.select(self.root, selector)
+            found = self.view.select(selector)
             if len(found) != 1 or len(found[0].children) > most_children:
                 continue
             if any("comment" in hint(up) for up in found[0].ancestors()):
@@ -156,7 +157,7 @@ def clean_title(page: Page, title: str) -> str:
     if S.SPLITTERS.search(title):
         title = S.resolve_split_title(title, page.url)
     if S.nbytes(title) > 150:
-        heads = css.select(page.root, "h1")
+        heads = page.view.select("h1")
         if len(heads) == 1:
             title = S.trim(heads[0].text())
     return S.normalize_spaces(S.trim(strip_tags(title)))
@@ -179,7 +180,7 @@ def author(page: Page) -> str | None:
         if found is not None and S.nbytes(found) < AUTHOR_BYTES:
             return S.clean_author(found)
     for selector in ("#byline", ".byline"):
-        nodes = css.select(page.root, selector)
+        nodes = page.view.select(selector)
         if len(nodes) == 1 and S.trim(nodes[0].text()).startswith("By"):
             return S.clean_author(S.trim(nodes[0].text()))
     return None
@@ -223,7 +224,7 @@ def lead_image_url(page: Page, content: str | None) -> str | None:
             score, _, src = max(scored)  # the last of equal ones
             if score > 0 and (found := S.clean_lead_image_url(src)):
                 return found
-    link = css.first(page.root, "link[rel=image_src]")
+    link = page.view.first("link[rel=image_src]")
     if link is not None:
         for name in ("src", "href", "value"):
             if name in link.attrs and (found := S.clean_lead_image_url(link.attrs[name])):
@@ -251,7 +252,7 @@ def word_count(content: str | None) -> int | None:
 
 def url_and_domain(page: Page) -> tuple[str, str | None]:
     """The canonical link as it stands, else og:url, else the page's own url; and that one's host."""
-    link = css.first(page.root, "link[rel=canonical]")
+    link = page.view.first("link[rel=canonical]")
     found = link.attrs.get("href") if link is not None else None
     if found is None:
         found = page.meta(URL_METAS, strip=False)

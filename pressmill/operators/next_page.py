@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from ..functions import scalar as S
-from . import css
 from .cleaning import hint
 from .html_tree import Node
 from .metadata import Page
@@ -20,7 +19,7 @@ PAGING = re.compile("(?i)pag(e|ing|inat)")
 
 
 def is_wordpress(page: Page) -> bool:
-    return any(n.get("value").startswith("WordPress") for n in css.select(page.root, 'meta[name="generator"]'))
+    return any(n.get("value").startswith("WordPress") for n in page.view.select('meta[name="generator"]'))
 
 
 def is_candidate(href: str, text: str, here: str, base: str, page: Page) -> bool:
@@ -66,7 +65,7 @@ def next_page_url(page: Page) -> str | None:
     here, base = S.remove_anchor(page.url), S.article_base_url(page.url)
     wordpress = is_wordpress(page)
     scores: dict[str, float] = {}
-    for link in css.select(page.root, "a[href]"):
+    for link in page.view.select("a[href]"):
         href, text = S.remove_anchor(S.trim(link.get("href"))), link.text()
         if is_candidate(href, text, here, base, page):
             scores[href] = link_score(link, href, text, here, base, wordpress)

@@ -63,7 +63,7 @@ class RuleBook:
                 return rule
         return None
 
-    def detect(self, root: Node) -> Rule | None:
+    def detect(self, view: css.View) -> Rule | None:
         """By marks that publishing systems leave in meta tags."""
         # The marks and the rules they stand for.
         marks = [
@@ -71,21 +71,21 @@ class RuleBook:
             ('meta[name="generator"][value="blogger"]', "blogspot.com"),
             ('meta[name="generator"][value^="WordPress"]', "wordpress.org"),
         ]
-        return next((self.find(domain) for selector, domain in marks if css.first(root, selector) is not None), None)
+        return next((self.find(domain) for selector, domain in marks if view.first(selector) is not None), None)
 
 
 # -- selectors ----------------------------------------------------------------
 
 
-def usable(root: Node, selectors: list, content: bool, several: bool):
+def usable(view: css.View, selectors: list, content: bool, several: bool):
     """The first selector with a value: one match (or any number, if ``several``) that is not blank."""
     for selector in selectors:
         if isinstance(selector, dict) and "all" in selector:
-            if content and all(css.first(root, s) is not None for s in selector["all"]):
+            if content and all(view.first(s) is not None for s in selector["all"]):
                 return selector
             continue
         path, attr = (selector["select"], selector["attr"]) if isinstance(selector, dict) else (selector, None)
-        found = css.select(root, path)
+        found = view.select(path)
         if not found or (len(found) != 1 and not several):
             continue
         if attr is None:
@@ -97,10 +97,10 @@ def usable(root: Node, selectors: list, content: bool, several: bool):
     return None
 
 
-def values(root: Node, selector) -> list[str]:
+def values(view: css.View, selector) -> list[str]:
     if isinstance(selector, dict):
-        return [S.trim(n.attrs[selector["attr"]]) for n in css.select(root, selector["select"]) if selector["attr"] in n.attrs]
-    return [S.trim(n.text()) for n in css.select(root, selector)]
+        return [S.trim(n.attrs[selector["attr"]]) for n in view.select(selector["select"]) if selector["attr"] in n.attrs]
+    return [S.trim(n.text()) for n in view.select(selector)]
 
 
 def select_value(page: M.Page, rule: Rule, name: str, excerpt: str | None = None) -> str | None:
@@ -112,10 +112,10 @@ def select_value(page: M.Page, rule: Rule, name: str, excerpt: str | None = None
         return spec["value"] or None
     selectors = spec["selectors"] if isinstance(spec, dict) else spec
     several = name == "lead_image_url"
-    chosen = usable(page.root, selectors, False, several)
+    chosen = usable(page.view, selectors, False, several)
     if chosen is None or (isinstance(chosen, dict) and "all" in chosen):
         return None
-    found = values(page.root, chosen)
+    found = values(page.view, chosen)
     cleaned = [clean_value(page, name, v, spec, excerpt) or "" for v in (found if several else found[:1])]
     if not any(cleaned):
         return None
@@ -142,10 +142,10 @@ def select_content(page: M.Page, rule: Rule, title: str) -> str | None:
     spec = rule.get("content")
     if spec is None:
         return None
-    chosen = usable(page.root, spec["selectors"], True, False)
+    chosen = usable(page.view, spec["selectors"], True, False)
     if chosen is None or (isinstance(chosen, dict) and "attr" in chosen):
         return None
-    nodes = [n for s in chosen["all"] for n in css.select(page.root, s)] if isinstance(chosen, dict) else css.select(page.root, chosen)[:1]
+    nodes = [n for s in chosen["all"] for n in page.view.select(s)] if isinstance(chosen, dict) else page.view.select(chosen)[:1]
     tree, article = Node("#root"), Node("div")
     tree.append(article)
     for node in nodes:
@@ -168,7 +168,7 @@ def select_extended(page: M.Page, extend: dict[str, Any]) -> dict[str, Any]:
     found: dict[str, Any] = {}
     for name, spec in extend.items():
         several = bool(spec.get("allow_multiple"))
-        chosen = usable(page.root, list(spec["selectors"]), False, several)
-        got = values(page.root, chosen) if chosen is not None else []
+        chosen = usable(page.view, list(spec["selectors"]), False, several)
+        got = values(page.view, chosen) if chosen is not None else []
         found[name] = None if chosen is None else got if several else (got[0] if got else "")
     return found

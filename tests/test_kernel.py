@@ -288,7 +288,7 @@ def test_rules():
     assert own.find("www.nytimes.com")["title"] == ["h2"]  # the caller's rules come first, even by base domain
     with pytest.raises(ValueError, match="Invalid parameters"):
         R.RuleBook(({"domain": ""},))
-    assert book.detect(page('<meta name=generator content="WordPress 6.1">').root)["domain"] == "wordpress.org"
+    assert book.detect(page('<meta name=generator content="WordPress 6.1">').view)["domain"] == "wordpress.org"
     selectors = [s for r in book.built_in for s in r["content"].get("clean", [])]
     assert sum(css.compile_selector(s) is None for s in selectors) <= 1
 
