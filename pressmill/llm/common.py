@@ -51,6 +51,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Send at most so many whole texts to Python at a time.
+
+    The session's limit is lowered, never raised: batches of thousands of long
+    texts stand in memory several times over, in the JVM and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that does not clash with those of ``df``."""
     names = {c.lower() for c in df.columns}

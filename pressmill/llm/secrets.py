@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns_of, fresh
+from .common import checkpoint, columns_of, fresh, text_batches
 
 # The base patterns and the least sizes of their matches, in the order of kinds.
 KINDS = ["assign", "access", "hex", "random"]
@@ -40,6 +40,7 @@ LENGTHS = (16, 20, 24, 32, 48, 64)
 
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_WORD = re.compile(r"[A-Z]?(?:[a-z]+|[A-Z]+)(?:[-/_=+]+[A-Z]?(?:[a-z]+|[A-Z]+))*[-/_=+]*")
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(1, len(_SYMBOLS) + 1)
 _STATES = len(_SYMBOLS) + 1
@@ -48,8 +49,6 @@ _UPPER, _LOWER, _DIGIT = _SYMBOLS[:26], _SYMBOLS[26:52], _SYMBOLS[52:62]
 ENCODINGS = {
     "hex": _DIGIT + "abcdef",
     "HEX": _DIGIT + "ABCDEF",
-    "lower": _LOWER,
-    "upper": _UPPER,
     "base32": _UPPER + "234567",
     "base36": _DIGIT + _LOWER,
     "BASE36": _DIGIT + _UPPER,
@@ -71,9 +70,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def infer_encoding(token: str) -> str | None:
-    """The first encoding whose alphabet holds the token without its padding; digits alone have none."""
+    """The first encoding whose alphabet holds the token without its padding.
+
+    Digits alone have none, nor have letters of one case (the first aside): those are numbers and words.
+    """
     body = set(token.rstrip("="))
-    if not body or body <= set(_DIGIT + "+-/_="):
+    if not body or body <= set(_DIGIT + "+-/_=") or _WORD.fullmatch(token):
         return None
     return next((name for name, letters in _SETS.items() if body <= letters), None)
 
@@ -155,15 +157,16 @@ def text_model(docs: DataFrame) -> np.ndarray:
 
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
-    """Bigrams backed off to single symbols, and those to equal shares."""
+    """Bigrams mixed with single symbols and with equal shares, so that text of other words stays likely enough."""
     pair = counts.reshape(_STATES, _STATES).copy()
     pair[:, 0] = 0  # ends of words: a candidate's length is given
-    single = pair.sum(0) + 1
+    single = pair.sum(0) + 1.0
     single[0] = 0
     single = single / single.sum()
-    strength = 20.0
-    with np.errstate(divide="ignore"):
-        return np.log((pair + strength * single) / (pair.sum(1, keepdims=True) + strength))
+    rows = pair.sum(1, keepdims=True)
+    followed = np.where(rows > 0, pair / np.maximum(rows, 1), single)
+    equal = np.full(_STATES, 1 / (_STATES - 1))
+    return np.log(0.6 * followed + 0.3 * single + 0.1 * equal)
 
 
 def candidate_tests(text: str, log_model: list[list[float]], taken: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple]]:
@@ -217,6 +220,7 @@ _SCAN = "base array<struct<a:int,b:int,k:int>>, tested array<long>, found array<
 
 def scan(docs: DataFrame) -> tuple[DataFrame, list[float]]:
     """(``docs`` with a struct column ``__scan``, accepted log p for each length class); texts are read twice."""
+    text_batches(docs.sparkSession)
     model = text_model(docs).tolist()
 
     @F.arrow_udf(f"struct<{_SCAN.replace(' array', ':array')}>")

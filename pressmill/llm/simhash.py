@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns_of, fresh, parallelism
+from .common import checkpoint, columns_of, fresh, parallelism, text_batches
 
 SHINGLE = 4
 BUDGET = 4
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         found = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
         return pa.array(found.view(np.int64), pa.int64())
 
+    text_batches(docs.sparkSession)
     rows = columns_of(docs, "doc_id", "text")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"))
 
@@ -148,6 +149,10 @@ def block_layout(budget: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def block_value(fp, at: int, width: int):
+    return fp if width == 64 else F.shiftrightunsigned(fp, at).bitwiseAND((1 << width) - 1)
+
+
 def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(fp, root): links between distinct fingerprints that join all within ``budget`` bits.
 
@@ -159,7 +164,7 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     layout = block_layout(budget)
     entries = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1).alias("value"))
+        F.struct(F.lit(k).alias("block"), block_value(F.col("fp"), at, width).alias("value"))
         for k, (at, width) in enumerate(layout)
     ])).alias("key")).select("fp", "key.block", "key.value")
 
@@ -219,7 +224,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         edges = checkpoint(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+            tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
         mark = now
 
 
