@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns_of, parallelism, salted_rank
+from .common import checkpoint, columns_of, parallelism, salted_rank, text_batches
 from .tokens import byte_bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy_key long"
@@ -115,6 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     counted in salted parts of each length.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     pieces = checkpoint(token_pieces(docs, tokenizer, capacity, end_id))
     full = pieces.filter(F.col("length") == capacity)
     rest = pieces.filter(F.col("length") < capacity)

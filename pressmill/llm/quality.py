@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, columns_of, fresh
+from .common import SPACE_BYTES, columns_of, fresh, text_batches
 
 #: Labelled rows used for fitting, at most; taken by a hash of doc_id, so from the whole table.
 FIT_ROWS = 20_000
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discr
     sample is the smallest hashes of doc_id among all labels; its statistics, a
     few MB at that bound, come to the driver.
     """
+    text_batches(docs.sparkSession)
     agreed = (
         columns_of(labels, "doc_id", "quality")
         .filter("doc_id is not null and quality in (0, 1)")

@@ -30,7 +30,7 @@ from .common import columns_of, fresh, parallelism, window_hashes, word_bounds,
 
 WINDOW = 20
 #: Text of a chunk, by the size that the plan's statistics give; a parameter of memory only.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
