@@ -10,7 +10,6 @@ from . import css
 from .html_tree import Node, parse_fragment
 
 # Names, patterns and sets that decide what stays.
-KEEP = "mercury-parser-keep"
 SPACER = re.compile(r"(?i)transparent|spacer|blank")
 KEPT_FRAMES = [
     "https://www.youtube.com",
@@ -41,6 +40,8 @@ BLOCKS = frozenset(
 _LINK = re.compile(r"https?://")
 _IMAGE = re.compile(r"\.(png|gif|jpe?g)")
 _SRCSET = re.compile(r"\.(png|gif|jpe?g)(\?\S+)?(\s*[\d.]+[wx])")
+#: Our mark on frames that stay; it is gone from results.
+KEEP = "kept-frame"
 
 
 def hint(node: Node) -> str:

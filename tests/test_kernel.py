@@ -281,7 +281,7 @@ def test_next_page():
 
 def test_rules():
     book = R.RuleBook()
-    assert len(book.built_in) == 147 and sum(len(r.get("aliases", ())) for r in book.built_in) == 25
+    assert len(book.built_in) == 146 and sum(len(r.get("aliases", ())) for r in book.built_in) == 25
     assert book.find("www.nytimes.com")["domain"] == "www.nytimes.com" and book.find("gizmodo.com")["domain"] == "deadspin.com"
     assert book.find("some.substack.com")["domain"] == "substack.com" and book.find("nothing.example") is None and book.find(None) is None
     own = R.RuleBook(({"domain": "nytimes.com", "title": ["h2"]},))

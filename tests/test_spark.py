@@ -182,4 +182,4 @@ def test_command_line_arguments():
 def test_rules_file_is_plain_json():
     from pressmill.operators.rules import BUILT_IN
 
-    assert len(json.loads(BUILT_IN.read_text())["rules"]) == 147
+    assert len(json.loads(BUILT_IN.read_text())["rules"]) == 146
