@@ -33,7 +33,7 @@ def duck():
 
 
 def rows_of(frame, names):
-    plain = lambda v: None if pd.isna(v) else round(v, 6) if isinstance(v, float) else int(v) if str(v).isdigit() and not isinstance(v, str) else v
+    plain = lambda v: None if pd.isna(v) else v if isinstance(v, str) or not hasattr(v, "__float__") else round(float(v), 6)
     return sorted((tuple(str(plain(v)) for v in row) for row in frame[names].itertuples(index=False)))
 
 
