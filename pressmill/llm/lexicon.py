@@ -145,6 +145,12 @@ class WordBpe:
 
     def parts(self, piece: str) -> list[bytes | int]:
         """Words (as UTF-8) of a piece without white space, and the ids of special tokens in it."""
+        if piece.isascii():  # letters alone, or letters and one other mark: what the pattern would find
+            low = piece.lower()
+            if low.isalpha():
+                return [low.encode()]
+            if low[:-1].isalpha() and not low[-1].isalnum():
+                return [low[:-1].encode(), low[-1].encode()]
         found: list[bytes | int] = []
         for part in self.specials.split(piece) if "<|" in piece else (piece,):
             if part in self.special:
@@ -155,24 +161,22 @@ class WordBpe:
         return found
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of a word: the pair of least rank is joined, leftmost first, until none is left."""
+        """The ids of a word: the pair of least rank is joined, leftmost first, until none is left.
+
+        A join changes the ranks of its two neighbouring pairs only.
+        """
         symbols = [self.symbol[b] for b in word]
         symbols[-1] += self.end
-        while len(symbols) > 1:
-            ranks = [self.rank.get(pair, -1) for pair in zip(symbols, symbols[1:])]
-            known = [r for r in ranks if r >= 0]
-            if not known:
-                break
-            left, right = symbols[(k := ranks.index(min(known)))], symbols[k + 1]
-            joined, at = [], 0
-            while at < len(symbols):
-                if symbols[at] == left and at + 1 < len(symbols) and symbols[at + 1] == right:
-                    joined.append(left + right)
-                    at += 2
-                else:
-                    joined.append(symbols[at])
-                    at += 1
-            symbols = joined
+        rank, none = self.rank, len(self.rank)
+        ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
+            symbols[k] += symbols.pop(k + 1)
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank.get((symbols[k], symbols[k + 1]), none)
+            if k:
+                ranks[k - 1] = rank.get((symbols[k - 1], symbols[k]), none)
         return [self.vocab[s] for s in symbols if s in self.vocab]
 
 
