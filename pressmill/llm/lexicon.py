@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, filesystem, shared_dir
+from .common import checkpoint, columns_of, filesystem, shared_dir
 from .tokens import byte_alphabet
 
 #: Words compiled into the transducer: the most frequent ones of the whole corpus.
 LEXICON_WORDS = 50_000
 #: Pieces that a worker remembers; past it, it forgets all and starts again.
-MEMORY_LIMIT = 250_000
+MEMORY_LIMIT = 450_000
 #: Documents looked up together.
 _GROUP = 256
 #: White space of Unicode, as the vocabulary file's patterns see it.
@@ -211,6 +211,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.bpe, self.lexicon = word_bpe(vocabulary), open_lexicon(lexicon)
+        self.names = {i: str(i) for i in self.bpe.token}
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
 
@@ -224,13 +225,17 @@ class Encoder:
             self.tokens.clear()
             new = seen
         parts = {p: self.bpe.parts(p) for p in new}
-        words = list({w for found in parts.values() for w in found if isinstance(w, bytes)})
-        ids = {w: self.bpe.merge(w) if i is None else i for w, i in zip(words, self.lexicon.find(words))}
-        token = self.bpe.token
+        words = list({w for found in parts.values() for w in found if w.__class__ is bytes})
+        merge = self.bpe.merge
+        known = {w: merge(w) if i is None else i for w, i in zip(words, self.lexicon.find(words))}
+        name, token = self.names, self.bpe.token
         for piece, found in parts.items():
-            own = [i for w in found for i in ((w,) if isinstance(w, int) else ids[w])]
-            self.ids[piece] = " ".join(map(str, own))
-            self.tokens[piece] = " ".join(token[i] for i in own)
+            if len(found) == 1 and found[0].__class__ is bytes:
+                own = known[found[0]]
+            else:
+                own = [i for w in found for i in (known[w] if w.__class__ is bytes else (w,))]
+            self.ids[piece] = " ".join([name[i] for i in own])
+            self.tokens[piece] = " ".join([token[i] for i in own])
 
     def encode(self, pieces: list[str]) -> tuple[str, str]:
         """(decimal ids, decoded text), each joined by one space, of pieces learnt before."""
@@ -244,7 +249,7 @@ def _encoder(vocabulary: str, lexicon: str) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` most frequent words of all texts (ties by the word), counted in tasks and then summed."""
+    """The most frequent words of all texts, ``most`` at most, counted in tasks and then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
@@ -266,8 +271,18 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
                 yield tell()
         yield tell()
 
-    counts = columns_of(docs, "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = checkpoint(columns_of(docs, "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # whole classes of equal frequency (16 to a doubling) from the top, so that no task sends a list of its own
+    level = F.floor(F.log2("n") * 16).cast("int")
+    total, lowest = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return []
+    return sorted(bytes(r["word"]) for r in counts.filter(level >= lowest).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> str:
