@@ -274,7 +274,7 @@ _CHAIN = "SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id +
     """
 )
 def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains over a table of links made up from page ids: sevens of consecutive pages."""
+    """Chains over a table of links made up from page ids: sevens of consecutive pages, below 100 as in its SQL."""
     at = F.col("page_id")
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     following = F.when((at % 7 != 6) & (at + 1 < 100), name(at + 1))
@@ -282,6 +282,26 @@ def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chain_links(made)
 
 
+_WHOLE_CHAIN = """SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id + 1 IN (SELECT page_id FROM pages)
+  THEN 'p' || (page_id + 1) END AS next_url FROM pages"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE links AS ({_WHOLE_CHAIN}), chain AS (
+      SELECT url AS start, 1 AS number, url, next_url FROM links
+      UNION ALL SELECT c.start, c.number + 1, l.url, l.next_url FROM chain c JOIN links l ON c.next_url = l.url WHERE c.number < 26)
+    SELECT start, number, url FROM chain
+    """
+)
+def page_chain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As page_chain, but over every page; a link to a page that is not there ends its chain."""
+    at = F.col("page_id")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    made = table(spark, sf_dir, "pages").select(name(at).alias("url"), F.when(at % 7 != 6, name(at + 1)).alias("next_url"))
+    return P.chain_links(made)
+
+
 # -- columns over texts ---------------------------------------------------------------------
 
 _WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

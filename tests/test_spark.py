@@ -106,6 +106,20 @@ def test_chains_of_links_end(spark):
     assert (size("a"), size("c"), size("x0"), size("x39")) == (2, 1, 26, 1)
 
 
+def test_chains_start_from_every_page(spark, tmp_path):
+    ids = [k for k in range(260) if k != 150]
+    spark.createDataFrame([(k,) for k in ids], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    want = []
+    for k in ids:
+        at = k
+        while True:
+            want.append((f"p{k}", at - k + 1, f"p{at}"))
+            if at % 7 == 6 or at + 1 not in ids:
+                break
+            at += 1
+    assert sorted(map(tuple, catalog.queries()["page_chain_whole"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_responses(spark):
     rows = [
         (1, "http://a", 200, "text/html; charset=iso-8859-1", 10, "caf\xe9".encode("latin-1")),
