@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and long tokens that pass a battery of randomness tests.
 
 Besides the base patterns, every long run of encoding characters is a
-candidate. Its encoding is inferred (the smallest alphabet that holds it),
-and two questions are asked. Is it consistent with uniform draws from that
+candidate, or its long parts are where no one alphabet can hold it: a run is cut at '=' inside it, and a
+run with marks of both base64 forms at those of either form, each way in turn. The encoding of a candidate
+is inferred (the smallest alphabet that holds it), and two questions are asked. Is it consistent with uniform draws from that
 alphabet? That is the battery: chi-squared over the alphabet, runs about the middle and
 serial correlation. And could it be ordinary text? The likelihood ratio of
 uniform draws against a character bigram model of the corpus's ordinary short words exceeds x with a
@@ -40,6 +41,9 @@ LENGTHS = (16, 20, 24, 32, 48, 64)
 
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_BETWEEN = re.compile(r"[^=]+")
+#: Parts without the marks of one base64 form, and of the other.
+_FORMS = re.compile(r"[^-_]+"), re.compile(r"[^+/]+")
 _WORD = re.compile(r"[A-Z]?(?:[a-z]+|[A-Z]+)(?:[-/_=+]+[A-Z]?(?:[a-z]+|[A-Z]+))*[-/_=+]*")
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(1, len(_SYMBOLS) + 1)
@@ -80,6 +84,27 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, letters in _SETS.items() if body <= letters), None)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of all runs and parts of runs to test, none shorter than SHORTEST.
+
+    Padding at the end of a run stays with its last part. Parts of a run with marks of both forms may overlap:
+    those free of '-' and '_' and those free of '+' and '/' are both tested.
+    """
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        last = start + len(m[0].rstrip("="))
+        for part in _BETWEEN.finditer(text, start, last):
+            a, b = part.start(), end if part.end() == last else part.end()
+            run = text[a:b]
+            if ("+" in run or "/" in run) and ("-" in run or "_" in run):
+                cut = [q.span() for form in _FORMS for q in form.finditer(text, a, b)]
+            else:
+                cut = [(a, b)]
+            for a, b in cut:
+                if b - a >= SHORTEST:
+                    yield a, b
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -172,8 +197,8 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
 def candidate_tests(text: str, log_model: list[list[float]], taken: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple]]:
     """(candidates tested in each length class, (start, end, length class, log p, battery p) of those with evidence)."""
     tested, found = [0] * len(LENGTHS), []
-    for m in _TOKEN.finditer(text):
-        token = m[0]
+    for start, end in candidates(text):
+        token = text[start:end]
         encoding = infer_encoding(token)
         if encoding is None:
             continue
@@ -185,8 +210,8 @@ def candidate_tests(text: str, log_model: list[list[float]], taken: list[tuple[i
             log_text += log_model[before][own]
             before = own
         log_p = log_text + len(body) * math.log(len(ENCODINGS[encoding]))
-        if log_p < 0 and not any(a < m.end() and m.start() < b for a, b, _ in taken):
-            found.append((m.start(), m.end(), group, log_p, battery(token, encoding)))
+        if log_p < 0 and not any(a < end and start < b for a, b, _ in taken):
+            found.append((start, end, group, log_p, battery(token, encoding)))
     return tested, found
 
 
@@ -253,14 +278,15 @@ def _cuts(scanned: DataFrame, share: float) -> list[float]:
 
 
 def accepted_spans(scanned: DataFrame, share: float):
-    """An array column of all spans (a, b, k), by start and then kind."""
+    """An array column of all spans (a, b, k), by start, kind and end."""
     cut = F.array(*[F.lit(float(x)) for x in _cuts(scanned, share)])
     added = F.transform(
         F.filter("__scan.found", lambda f: (F.ceil(f["logp"]) <= F.element_at(cut, f["g"] + 1)) & (f["p"] > LEVEL)),
         lambda f: F.struct(f["a"].alias("a"), f["b"].alias("b"), F.lit(KINDS.index("random")).alias("k")),
     )
     whole = F.concat(F.col("__scan.base"), added)
-    order = lambda x, y: F.when((x["a"] < y["a"]) | ((x["a"] == y["a"]) & (x["k"] < y["k"])), -1).otherwise(1)
+    at = lambda s: F.struct(s["a"], s["k"], s["b"])
+    order = lambda x, y: F.when(at(x) < at(y), -1).when(at(x) > at(y), 1).otherwise(0)
     return F.when(F.size(whole) > 1, F.array_sort(whole, order)).otherwise(whole)
 
 
@@ -273,7 +299,7 @@ def secret_digest(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs(doc_id, text)``.
 
     Null and empty texts have no spans, an empty ``spans`` and the digest of no bytes. Added spans never
-    overlap a base one. Repeated rows and null doc_ids are rows of their own (copies of a token
+    overlap a base one, but may overlap each other. Repeated rows and null doc_ids are rows of their own (copies of a token
     are tests of their own); other columns are ignored; an empty table gives no rows.
     """
     rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

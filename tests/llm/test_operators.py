@@ -216,6 +216,34 @@ def test_battery_adds_random_tokens_and_leaves_words(spark):
     assert all(found[100 + k] == "" for k in range(20))
 
 
+def test_battery_tests_the_parts_of_runs(spark):
+    rng = np.random.default_rng(13)
+    draw = lambda marks: "".join(rng.choice(list(secrets.ENCODINGS["base62"] + marks), 40))
+    plain = "the quick onset of another winter morning found 1984 people in the internationalisation department of 2001 "
+    lead = ["AWS_SECRET_ACCESS_KEY=", "AUTH=", "http://a.b/x?sig=", "some-long_name/", "other_name-of/a-path/"]
+    rows, want = [], {}
+    for k in range(20):
+        own, tail = lead[k % 5], ["", "==", "=other"][k % 3]
+        secret = "Q" + draw("+/" if k % 5 != 4 else "") + "7"
+        rows.append((k, plain * 40 + own + secret + tail + " " + plain))
+        at = len(plain) * 40 + len(own)
+        want[k] = (at, at + len(secret))
+    rows += [(100 + k, plain * 40 + "some_long_identifier=another-long/identifier_of-words and/or_more-of=them ") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for r in secrets.secret_digest(df).collect()}
+    assert sum(any(a <= want[k][0] and want[k][1] <= b for a, b in found[k]) for k in range(20)) >= 18
+    assert all(found[100 + k] == [] for k in range(20))
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert sum(rows[k][1][slice(*want[k])] not in clean[k] for k in range(20)) >= 18
+
+
+def test_parts_of_runs_cover_what_one_alphabet_holds():
+    cut = lambda text: [text[a:b] for a, b in secrets.candidates(text)]
+    a, b = "Zx8kQ2mV7tR4wY1n", "pL6sD3fG9hJ0kX5c"
+    assert cut(f"{a}+{b}/==") == [f"{a}+{b}/=="] and cut(f"KEY={a}") == [a] and cut(f"{a}=={b}==") == [a, f"{b}=="]
+    assert cut(f"{a}-{b}+{a}") == [a, f"{b}+{a}", f"{a}-{b}", a] and cut("=" * 20) == [] and cut("short=" * 4) == []
+
+
 def test_battery_tells_patterns_from_chance():
     rng = np.random.default_rng(4)
     tokens = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(300)]
