@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, columns_of, fresh, parallelism, text_batches
@@ -43,8 +43,8 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit form of every whole text's fingerprint."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, *more: Column) -> DataFrame:
+    """(doc_id, fp): the signed 64-bit form of every whole text's fingerprint; ``more`` are columns beside it."""
 
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     text_batches(docs.sparkSession)
     rows = columns_of(docs, "doc_id", "text")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"), *more)
 
 
 class Forest:
@@ -229,6 +229,13 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         mark = now
 
 
+def with_tops(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``distinct(fp, ...)`` with ``top``: the smallest fingerprint of each one's component."""
+    reached = components(near_links(distinct.select("fp"), budget), "fp", "root")
+    found = distinct.join(reached, distinct.fp == reached.node, "left")
+    return found.select(*[distinct[c] for c in distinct.columns], F.coalesce("component", "fp").alias("top"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs(doc_id, text)``.
 
@@ -243,11 +250,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET)
     marked = checkpoint(fingerprints(docs, width))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = checkpoint(distinct)
-    reached = components(near_links(distinct.select("fp"), budget), "fp", "root")
     # the smallest node of a component of fingerprints, and then its smallest doc_id
-    placed = distinct.join(reached, distinct.fp == reached.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("top")
-    )
+    placed = with_tops(distinct, budget)
     ids = placed.groupBy("top").agg(F.min("first").alias("component_id"))
     named = placed.join(ids, "top").select("fp", "component_id")
     return marked.join(named, "fp").select(
@@ -256,14 +260,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET)
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; all columns stay.
+    """One row of ``docs`` for each component: that of the smallest doc_id, and then of the smallest hash of its text.
 
-    Repeated rows of that doc_id count as copies too: one of each stays.
+    Null doc_ids come after all others. A doc_id alone never drops a row: rows of one doc_id with different
+    texts stay or go by their own components. Rows equal in both doc_id and text count as copies; all columns stay.
     """
     if not docs.columns:
         return docs
-    first = near_duplicates(docs, width, budget).filter("doc_id = component_id or (doc_id is null and component_id is null)")
-    mark = fresh(docs, "kept_id")
-    ids = first.select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids[mark]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # equal keys have equal texts, so equal fingerprints: a key lies in one component
+    number = lambda: F.col("doc_id").cast("long")
+    key = F.concat_ws(":", F.coalesce(number().cast("string"), F.lit("")), F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("")))
+    mark = fresh(docs, "kept_key")
+    marked = fingerprints(docs, width, key.alias(mark))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", mark)
+    distinct = checkpoint(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    firsts = with_tops(distinct, budget).groupBy("top").agg(F.min("first").alias("first"))
+    # rows of one key meet before the join, part by part, so that a very common one is not one task
+    copies = docs.withColumn(mark, key).dropDuplicates([mark])
+    return copies.join(firsts.select(F.col(f"first.{mark}").alias(mark)), mark, "left_semi").select(*docs.columns)

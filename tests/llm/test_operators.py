@@ -463,3 +463,15 @@ def test_one_of_each_group_stays(docs):
     assert kept.columns == docs.columns
     groups = {r.component_id for r in simhash.near_duplicates(docs).collect()} - {None}
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted(groups)
+
+
+def test_rows_stay_by_their_own_component(spark):
+    words = BASE.split()
+    other = lambda k: " ".join(f"{w}{k}" for w in words)
+    rows = [(None, other(k)) for k in range(5)] + [(None, None), (None, other(0))]
+    rows += [(7, other(5)), (7, other(6)), (7, other(6)), (3, other(5)), (9, other(1)), (7, ""), (8, other(7)), (8, other(7))]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, part int").repartition(3)
+    want = [(None, other(k)) for k in (0, 2, 3, 4)] + [(7, other(6)), (3, other(5)), (9, other(1)), (7, ""), (8, other(7))]
+    order = lambda found: sorted(found, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert order((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == order(want)
+    assert simhash.keep_one(df.limit(0)).count() == 0
