@@ -70,27 +70,48 @@ class InvertedFiles:
         return total
 
 
-def search_block(vectors: np.ndarray, first_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, longest: float, keep: int, share: float, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, exact inner products) of each query's ``keep`` best rows among the reranked ones.
+def search_block(vectors: np.ndarray, first_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, longest: float, k: int, share: float, prefix: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query numbers, row numbers, exact inner products) of each query's best rows among the reranked ones.
 
     Rows are ranked by footrule (ties to the smaller first id); the best share of the
-    block, and at least ten times ``keep``, is reranked in double precision.
+    block, and at least ten times those kept, is reranked in double precision. ``alone`` marks rows that
+    hold no id but their first. Without those of any one id, ``k`` rows are left, or all the others.
     """
     order = np.argsort(first_ids, kind="stable")
-    vectors = vectors[order]
+    vectors, label, single = vectors[order], first_ids[order], alone[order]
+    most = int(np.unique(label[single], return_counts=True)[1].max(initial=1))
     index = InvertedFiles(prefixes(lift(vectors, longest), pivots, prefix), len(pivots))
     asked = prefixes(np.hstack([queries, np.zeros((len(queries), 1))]), pivots, prefix)
     n = len(vectors)
-    budget, keep = min(n, max(10 * keep, ceil(share * n))), min(keep, n)
-    rows, scores = np.empty((len(queries), keep), np.int64), np.empty((len(queries), keep))
+    keep = k + min(k, most)
+    budget = min(n, max(10 * keep, ceil(share * n)) + most - 1)
+    numbers, rows, scores = [], [], []
     position = np.arange(n)
-    for k, (query, own) in enumerate(zip(queries, asked)):
+    for number, (query, own) in enumerate(zip(queries, asked)):
         far = index.footrule(own).astype(np.int64) * n + position
         near = np.argpartition(far, budget - 1)[:budget] if budget < n else position
         exact = inner(vectors[near], query)
-        best = np.lexsort((near, -exact))[:keep]
-        rows[k], scores[k] = order[near[best]], exact[best]
-    return rows, scores
+        best = np.lexsort((near, -exact))
+        if most > k:  # more than k rows of one id alone serve nobody
+            held = near[best]
+            best = best[~single[held] | (times_before(label[held], single[held]) < k)]
+        best = best[:keep]
+        numbers.append(np.full(len(best), number))
+        rows.append(order[near[best]])
+        scores.append(exact[best])
+    return np.concatenate(numbers), np.concatenate(rows), np.concatenate(scores)
+
+
+def times_before(values: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """How often each value stands before its place, among those counted; 0 for the others."""
+    out = np.zeros(len(values), np.int64)
+    own = values[counted]
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    before = np.empty(len(own), np.int64)
+    before[order] = np.arange(len(own)) - np.searchsorted(ranked, ranked)
+    out[counted] = before
+    return out
 
 
 def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -102,8 +123,9 @@ def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def vector_classes(embeddings: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, key; classes: key, vector, ids): equal vectors are one class with its ``keep`` smallest ids.
+    """(rows: vec_id, key; classes: key, vector, ids): equal vectors are one class with its ``keep`` smallest different ids.
 
+    Each of ``ids`` is (vec_id, n): n rows have it, counted up to ``keep``.
     A query's nearest never need more than so many of equal vectors; its class
     is searched once. Ids are ranked in salted parts, so a very common vector
     is not one task.
@@ -115,9 +137,9 @@ def vector_classes(embeddings: DataFrame, keep: int) -> tuple[DataFrame, DataFra
     usable = usable.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     usable = usable.withColumn("key", F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256))
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(parallelism(embeddings.sparkSession)))
-    part = usable.select("key", "vec_id", salt.alias("salt"))
+    part = usable.groupBy("key", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(keep)).cast("int").alias("n")).withColumn("salt", salt)
     least = part.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy("vec_id"))).filter(F.col("r") <= keep)
-    ids = least.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, keep).alias("ids"))
+    ids = least.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("vec_id", "n"))), 1, keep).alias("ids"))
     one = usable.groupBy("key").agg(F.first("vector").alias("vector"))
     return usable.select("vec_id", "key"), one.join(ids, "key")
 
@@ -135,7 +157,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float =
     pair of block and group is a task of bounded size. Pivots come from a bounded sample.
     """
     spark = embeddings.sparkSession
-    keep = k + 1  # the query itself may be among them
+    keep = k + 1  # the query's own id may be among them, once in a class
     rows, classes = vector_classes(embeddings, keep)
     classes = checkpoint(classes)
     sizes = classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
@@ -156,7 +178,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float =
     blocks, groups = max(1, ceil(n / BLOCK)), max(1, ceil(q / QUERIES))
     deal = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
     all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    held = classes.select("key", "vector", F.col("ids")[0].alias("first_id"), deal("key", blocks).alias("block"), all_of(groups).alias("part"))
+    held = classes.select("key", "vector", F.col("ids")[0]["vec_id"].alias("first_id"), (F.size("ids") == 1).alias("alone"), deal("key", blocks).alias("block"), all_of(groups).alias("part"))
     wanted = asked.select(F.col("key").alias("query"), F.col("vector").alias("asked"), deal("key", groups).alias("part"), all_of(blocks).alias("block"))
     names = pa.schema([("query", pa.string()), ("key", pa.string()), ("score", pa.float64())])
 
@@ -167,18 +189,22 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float =
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return names.empty_table()
-        found, score = search_block(matrix(left, "vector"), left.column("first_id").to_numpy(), matrix(right, "asked"), chosen, longest, keep, share, prefix)
-        asking = np.repeat(np.arange(right.num_rows), found.shape[1])
-        return pa.Table.from_arrays([right.column("query").take(pa.array(asking)), left.column("key").take(pa.array(found.ravel())), pa.array(score.ravel())], schema=names)
+        alone = left.column("alone").to_numpy()
+        asking, found, score = search_block(matrix(left, "vector"), left.column("first_id").to_numpy(), matrix(right, "asked"), chosen, longest, k, share, prefix, alone)
+        return pa.Table.from_arrays([right.column("query").take(pa.array(asking)), left.column("key").take(pa.array(found)), pa.array(score)], schema=names)
 
     near = held.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(work, "query string, key string, score double")
-    # classes to ids: at most ``keep`` of each, and ``keep`` of all
-    listed = near.join(classes.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
+    # classes to ids: at most k entries of one id, and 2 k of all, so that k are left without those of any one id
+    listed = near.join(classes.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("id")).select("query", "score", "id.vec_id", "id.n")
+    own = Window.partitionBy("query", "vec_id").orderBy(F.desc("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = listed.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
-    lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
+    few = listed.withColumn("o", F.row_number().over(own)).filter(F.col("o") <= k)
+    top = few.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * k)
+    lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "n"))).alias("found"))
+    others = F.filter("found", lambda x: x["vec_id"] != F.col("vec_id"))
+    rows_of = F.flatten(F.transform(others, lambda x: F.array_repeat(x, x["n"])))
     answers = asking.join(lists, asking.key == lists.query).select(
-        F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found")
+        F.col("vec_id").alias("query_id"), F.slice(rows_of, 1, k).alias("found")
     )
     return answers.select("query_id", F.posexplode("found").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")

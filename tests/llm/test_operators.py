@@ -286,6 +286,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_repeats_of_a_query_leave_k_neighbours(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 8)).round(3)
+    rows = [(k, x[k].tolist()) for k in range(300)]
+    rows += [(0, x[0].tolist())] * 30 + [(20, (x[20] * (2 + j / 50)).tolist()) for j in range(250)] + [(41, (x[40] * 4).tolist())] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, all_x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = {}
+    for r in neighbours.nearest(df, 20, 20, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, times in ((0, 31), (20, 251), (40, 1)):
+        assert len(got[q]) == 20 * times and all(f[1] != q for f in got[q])
+    scores = np.sort((all_x @ x[40])[ids != 40])[::-1][:20]
+    assert np.allclose([f[2] for f in sorted(got[40])], scores)
+
+
 # -- quality ---------------------------------------------------------------------------------
 
 
