@@ -355,6 +355,20 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.direction(made).alias("direction"))
 
 
+@query(
+    f"""
+    SELECT doc_id, CASE WHEN l AND r THEN 'bidi' WHEN l THEN 'ltr' WHEN r THEN 'rtl' END AS direction FROM (
+      SELECT doc_id, r, regexp_matches(t, '[^{_WS[1:-1]}\\x00''"\\-+?!0-9{_RTL}]') OR (NOT r AND regexp_matches(t, '[0-9]')) AS l FROM (
+        SELECT doc_id, t, regexp_matches(t, '[{_RTL}]') AS r
+        FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(1488) || chr(1489) ELSE '' END || text AS t FROM documents)))
+    """
+)
+def direction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As direction, but of every whole text; some have Hebrew letters put before."""
+    made = F.concat(F.when(F.col("doc_id") % 4 == 0, chr(1488) + chr(1489)).otherwise(""), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.direction(made).alias("direction"))
+
+
 @query(
     f"""
     SELECT doc_id, round(CASE WHEN n < 25 THEN 0.0 ELSE 1.0 + c + least(greatest(n / 50.0 - 2.0, 0.0), 3.0) - CASE WHEN t LIKE '%:' THEN 1.0 ELSE 0.0 END END, 9)::DOUBLE AS score
