@@ -143,6 +143,11 @@ def test_responses(spark):
     assert all(got[k].html is None for k in (2, 3, 4, 5))
 
 
+def test_charset_is_found_anywhere_in_a_page():
+    page = "<style>" + "a{} " * 20_000 + '</style><meta http-equiv="Content-Type" content="text/html; charset=windows-1251"><p>\u043f\u0440'
+    assert crawl.decode_page(page.encode("cp1251"), "text/html; charset=utf-8").endswith("\u043f\u0440")
+
+
 def test_files_and_json(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.html").write_text(f"<title>T</title><p>{TEXT}</p>")
