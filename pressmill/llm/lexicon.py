@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -15,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns_of, filesystem, shared_dir
+from .common import checkpoint, columns_of, filesystem, shared_dir, text_batches
 from .tokens import byte_alphabet
 
 #: Words compiled into the transducer: the most frequent ones of the whole corpus.
 LEXICON_WORDS = 50_000
-#: Pieces that a worker remembers; past it, it forgets all and starts again.
-MEMORY_LIMIT = 450_000
-#: Documents looked up together.
-_GROUP = 256
+#: Pieces that a worker remembers, and characters of them and of what they give; past either, it forgets all.
+MEMORY_LIMIT, MEMORY_CHARS = 450_000, 48_000_000
+#: Documents looked up together, and characters of theirs.
+_GROUP, _GROUP_CHARS = 256, 4_000_000
+#: Words of more bytes are merged with a heap of pairs, shorter ones by looking through all pairs.
+_HEAP = 64
 #: White space of Unicode, as the vocabulary file's patterns see it.
 _SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _OTHER_SPLITS = "\x1c\x1d\x1e\x1f"
@@ -125,12 +127,19 @@ class Transducer:
 
 
 class WordBpe:
-    """What the vocabulary file says: normalised words, merges by rank, ids and their tokens."""
+    """What the vocabulary file says: normalised words, merges by rank, ids and their tokens.
+
+    Pieces with characters beyond ASCII are normalised and cut into words by the tokenizers library
+    itself, whose Unicode tables are of another age than those of Python and its packages.
+    """
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
+        codec = Tokenizer.from_file(path)
+        self.normal, self.cut = codec.normalizer.normalize_str, codec.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -156,8 +165,11 @@ class WordBpe:
             if part in self.special:
                 found.append(self.special[part])
                 continue
-            part = (part if part.isascii() else unicodedata.normalize("NFC", part)).lower()
-            found += [w.encode("utf-8", "surrogatepass") for w in self.words.findall(part)]
+            if part.isascii():
+                found += [w.encode() for w in self.words.findall(part.lower())]
+            else:
+                part = self.normal(part)
+                found += [part[a:b].encode() for _, (a, b) in self.cut(part)]
         return found
 
     def merge(self, word: bytes) -> list[int]:
@@ -165,6 +177,8 @@ class WordBpe:
 
         A join changes the ranks of its two neighbouring pairs only.
         """
+        if len(word) > _HEAP:
+            return self.merge_long(word)
         symbols = [self.symbol[b] for b in word]
         symbols[-1] += self.end
         rank, none = self.rank, len(self.rank)
@@ -179,6 +193,30 @@ class WordBpe:
                 ranks[k - 1] = rank.get((symbols[k - 1], symbols[k]), none)
         return [self.vocab[s] for s in symbols if s in self.vocab]
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """As merge, in n log n: a heap of (rank, place) of neighbouring pairs, the places linked both ways."""
+        symbols: list[str | None] = [self.symbol[b] for b in word]
+        symbols[-1] += self.end
+        n, rank = len(symbols), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k, pair in enumerate(zip(symbols, symbols[1:])) if (r := rank.get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if j >= n or symbols[k] is None or rank.get((symbols[k], symbols[j])) != r:
+                continue  # one of the two has been joined to another since
+            symbols[k], symbols[j] = symbols[k] + symbols[j], None
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (r := rank.get((symbols[k], symbols[j]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            i = before[k]
+            if i >= 0 and (r := rank.get((symbols[i], symbols[k]))) is not None:
+                heapq.heappush(heap, (r, i))
+        return [self.vocab[s] for s in symbols if s in self.vocab]
+
 
 @functools.lru_cache(2)
 def word_bpe(path: str) -> WordBpe:
@@ -214,15 +252,17 @@ class Encoder:
         self.names = {i: str(i) for i in self.bpe.token}
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
+        self.chars = 0
 
     def learn(self, texts: list[list[str]]) -> None:
         seen: set[str] = set()
         for pieces in texts:
             seen.update(pieces)
         new = seen - self.ids.keys()
-        if len(self.ids) + len(new) > MEMORY_LIMIT:
+        if len(self.ids) + len(new) > MEMORY_LIMIT or self.chars > MEMORY_CHARS:
             self.ids.clear()
             self.tokens.clear()
+            self.chars = 0
             new = seen
         parts = {p: self.bpe.parts(p) for p in new}
         words = list({w for found in parts.values() for w in found if w.__class__ is bytes})
@@ -234,8 +274,9 @@ class Encoder:
                 own = known[found[0]]
             else:
                 own = [i for w in found for i in (known[w] if w.__class__ is bytes else (w,))]
-            self.ids[piece] = " ".join([name[i] for i in own])
-            self.tokens[piece] = " ".join([token[i] for i in own])
+            self.ids[piece] = ids = " ".join([name[i] for i in own])
+            self.tokens[piece] = text = " ".join([token[i] for i in own])
+            self.chars += len(piece) + len(ids) + len(text)
 
     def encode(self, pieces: list[str]) -> tuple[str, str]:
         """(decimal ids, decoded text), each joined by one space, of pieces learnt before."""
@@ -250,10 +291,12 @@ def _encoder(vocabulary: str, lexicon: str) -> Encoder:
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent words of all texts, ``most`` at most, counted in tasks and then summed."""
+    text_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
         pieces: Counter = Counter()
+        held = 0
 
         def tell() -> pa.RecordBatch:
             words: Counter = Counter()
@@ -266,9 +309,12 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
 
         for batch in batches:
             for text in batch.column(0):
-                pieces.update(pieces_of(text.as_py()))
-            if len(pieces) > MEMORY_LIMIT:
-                yield tell()
+                text = text.as_py() or ""
+                pieces.update(pieces_of(text))
+                held += len(text)
+                if len(pieces) > MEMORY_LIMIT or held > MEMORY_CHARS:
+                    held = 0
+                    yield tell()
         yield tell()
 
     counts = checkpoint(columns_of(docs, "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -304,12 +350,14 @@ def encoded(texts: Iterable[str | None], vocabulary: str, lexicon: str) -> Itera
     """(decimal ids, decoded text) of each text."""
     encoder = _encoder(vocabulary, lexicon)
     group: list[list[str]] = []
+    chars = 0
     for text in texts:
         group.append(pieces_of(text))
-        if len(group) == _GROUP:
+        chars += len(text or "")
+        if len(group) == _GROUP or chars > _GROUP_CHARS:
             encoder.learn(group)
             yield from map(encoder.encode, group)
-            group = []
+            group, chars = [], 0
     encoder.learn(group)
     yield from map(encoder.encode, group)
 

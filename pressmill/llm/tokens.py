@@ -9,8 +9,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces kept by a worker; the memory stops growing there and misses are encoded again.
-MEMORY_LIMIT = 250_000
+#: Pieces kept by a worker, and the most characters of one; the memory stops growing there and misses are encoded again.
+MEMORY_LIMIT, MEMORY_PIECE = 250_000, 48
 
 #: Fixed value: the pre-tokenizer pattern of the byte-level files (see their README).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,7 +70,7 @@ class ByteBpe:
                     ids = self.memory.get(piece)
                     if ids is None:
                         ids = np.array(encode(" " + piece), "<u4").tobytes()
-                        if keep:
+                        if keep and len(piece) <= MEMORY_PIECE:
                             self.memory[piece] = ids
                     found[k] = ids
         return b"".join(chain((self.whole(first),), found))
