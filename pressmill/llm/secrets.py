@@ -3,13 +3,15 @@
 Besides the base patterns, every long run of encoding characters is a
 candidate, or its long parts are where no one alphabet can hold it: a run is cut at '=' inside it, and a
 run with marks of both base64 forms at those of either form, each way in turn. The encoding of a candidate
-is inferred (the smallest alphabet that holds it), and two questions are asked. Is it consistent with uniform draws from that
-alphabet? That is the battery: chi-squared over the alphabet, runs about the middle and
-serial correlation. And could it be ordinary text? The likelihood ratio of
+is inferred (the smallest alphabet that holds it), and two null hypotheses are tested. The first is that the token is a
+series of uniform draws from that alphabet. That is the battery: chi-squared over the alphabet, runs about the middle and
+serial correlation, combined. The second is that it is ordinary text: the likelihood ratio of
 uniform draws against a character bigram model of the corpus's ordinary short words exceeds x with a
-probability of 1/x at most if it is text, so its inverse is a p-value at any length. Those
-p-values, weighted by length so that longer tokens get more of the error
-budget, go through the Benjamini-Hochberg procedure over all candidates of the corpus.
+probability of 1/x at most if it is text, so its inverse is a p-value at any length.
+
+Both kinds of p-values, weighted by length so that longer tokens get more of the error
+budget, go through the Benjamini-Hochberg procedure over all candidates of the corpus. A secret is a token that is
+discovered not to be text and not discovered to be patterned.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns_of, fresh, text_batches
+from .common import checkpoint, columns_of, text_batches
 
 # The base patterns and the least sizes of their matches, in the order of kinds.
 KINDS = ["assign", "access", "hex", "random"]
@@ -34,8 +38,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Shortest token that the battery tests; shorter ones make the model of ordinary text.
 SHORTEST = 16
-#: Share of false discoveries among added spans, and the battery's level.
-FALSE_SHARE, LEVEL = 1e-3, 1e-3
+#: Share of false discoveries, both of what is no text and of what is patterned.
+FALSE_SHARE = 1e-3
+#: Characters of candidates that a task holds before it tells them.
+_HELD = 16_000_000
+#: Whole logarithms of p-values go down to this.
+_FLOOR = -2000
 #: Lower ends of the length classes.
 LENGTHS = (16, 20, 24, 32, 48, 64)
 
@@ -147,42 +155,21 @@ def battery(token: str, encoding: str) -> float:
     return min(1.0, 3 * min(_chi_tail(chi, cells - 1), p_runs, p_serial))
 
 
-def bigram_counts(data: bytes) -> np.ndarray:
-    """Counts of neighbouring symbols in runs shorter than a candidate; state 0 is anything else."""
+def bigram_counts(data: bytes) -> tuple[np.ndarray, bool]:
+    """(counts of neighbouring symbols in runs shorter than a candidate, whether a longer one is there); state 0 is anything else."""
     code = _CODE[np.frombuffer(b" " + data + b" ", np.uint8)]
     gaps = np.flatnonzero(code == 0)
     long = np.diff(gaps) > SHORTEST
-    if long.any():
+    if held := bool(long.any()):
         cover = np.zeros(len(code) + 1, np.int8)
         cover[gaps[:-1][long] + 1] += 1
         cover[gaps[1:][long]] -= 1
         code = np.where(np.cumsum(cover[:-1]) > 0, 0, code)
-    return np.bincount(code[:-1] * _STATES + code[1:], minlength=_STATES * _STATES)
-
-
-def text_model(docs: DataFrame) -> np.ndarray:
-    """Log probabilities [symbol, next symbol] in ordinary words, counted over all of every text.
-
-    A task sums its texts and tells its non-zero counts; the sums, at most
-    the square of the symbols, come to the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_STATES * _STATES, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                total += bigram_counts((text.as_py() or "").encode("utf-8", "surrogatepass"))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["pair", "n"])
-
-    counts = np.zeros(_STATES * _STATES)
-    for r in columns_of(docs, "text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        counts[r["pair"]] = r["n"]
-    return smoothed(counts)
+    return np.bincount(code[:-1] * _STATES + code[1:], minlength=_STATES * _STATES), held
 
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
-    """Bigrams mixed with single symbols and with equal shares, so that text of other words stays likely enough."""
+    """Log probabilities [symbol, next symbol]: bigrams mixed with single symbols and with equal shares, so that text of other words stays likely enough."""
     pair = counts.reshape(_STATES, _STATES).copy()
     pair[:, 0] = 0  # ends of words: a candidate's length is given
     single = pair.sum(0) + 1.0
@@ -194,32 +181,82 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log(0.6 * followed + 0.3 * single + 0.1 * equal)
 
 
-def candidate_tests(text: str, log_model: list[list[float]], taken: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple]]:
-    """(candidates tested in each length class, (start, end, length class, log p, battery p) of those with evidence)."""
-    tested, found = [0] * len(LENGTHS), []
-    for start, end in candidates(text):
-        token = text[start:end]
-        encoding = infer_encoding(token)
-        if encoding is None:
-            continue
-        tested[group := sum(len(token) >= n for n in LENGTHS) - 1] += 1
-        body = token.rstrip("=")
-        before, log_text = 0, 0.0
-        for c in body.encode():
-            own = _PLACE[c]
-            log_text += log_model[before][own]
-            before = own
-        log_p = log_text + len(body) * math.log(len(ENCODINGS[encoding]))
-        if log_p < 0 and not any(a < end and start < b for a, b, _ in taken):
-            found.append((start, end, group, log_p, battery(token, encoding)))
-    return tested, found
+_PLACE = _CODE.tolist()
 
 
-_PLACE = _CODE.tolist()
+def length_class(token: str) -> int:
+    return sum(len(token) >= n for n in LENGTHS) - 1
+
+
+def text_log_p(token: str, encoding: str, log_model: list[list[float]]) -> float:
+    """The log p-value that the token is ordinary text; 0 or more says nothing against it."""
+    body = token.rstrip("=")
+    before, log_text = 0, 0.0
+    for c in body.encode():
+        own = _PLACE[c]
+        log_text += log_model[before][own]
+        before = own
+    return log_text + len(body) * math.log(len(ENCODINGS[encoding]))
+
+
+def whole_log(p: float) -> int:
+    """The logarithm of a p-value rounded up, so that a histogram of it errs to the safe side."""
+    return max(_FLOOR, math.ceil(math.log(p))) if p > 0 else _FLOOR
+
+
+def overlap(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a range meets any of the spans, which come by start."""
+    starts, reach = [s[0] for s in spans], []
+    for s in spans:
+        reach.append(max(s[1], reach[-1] if reach else 0))
+
+    def meets(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k > 0 and reach[k - 1] > a
+
+    return meets
+
+
+_GATHERED = pa.schema([("pair", pa.int64()), ("token", pa.string()), ("taken", pa.bool_()), ("n", pa.int64())])
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n) of neighbouring symbols and (token, taken, n) of candidates of all texts, counted in a task.
+
+    ``taken`` tells whether a base span meets the candidate.
+    """
+    total, tokens, held = np.zeros(_STATES * _STATES, np.int64), Counter(), 0
+
+    def told() -> pa.RecordBatch:
+        names, taken = zip(*tokens) if tokens else ([], [])
+        rows = [[None] * len(names), names, taken, list(tokens.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _GATHERED.types)], schema=_GATHERED)
+
+    for batch in batches:
+        for text in batch.column(0):
+            text = text.as_py() or ""
+            counts, long = bigram_counts(text.encode("utf-8", "surrogatepass"))
+            total += counts
+            meets = None
+            for a, b in candidates(text) if long else ():
+                token = text[a:b]
+                if infer_encoding(token) is not None:
+                    meets = meets or overlap(base_spans(text))
+                    tokens[token, meets(a, b)] += 1
+                    held += b - a
+            if held > _HELD:
+                yield told()
+                tokens.clear()
+                held = 0
+    yield told()
+    some = np.flatnonzero(total)
+    empty = [None] * len(some)
+    rows = [some, empty, empty, total[some]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _GATHERED.types)], schema=_GATHERED)
 
 
 def discoveries(tested: np.ndarray, histogram: dict[tuple[int, int], int], share: float = FALSE_SHARE) -> list[float]:
-    """The largest log p to accept in each length class, by weighted Benjamini-Hochberg.
+    """The largest log p to reject in each length class, by weighted Benjamini-Hochberg.
 
     ``tested`` counts all candidates of each length class; ``histogram`` counts those with
     evidence by (length class, log p rounded up to a whole number), so its size is
@@ -240,54 +277,72 @@ def discoveries(tested: np.ndarray, histogram: dict[tuple[int, int], int], share
     return [cut + math.log(w) for w in weight]
 
 
-_SCAN = "base array<struct<a:int,b:int,k:int>>, tested array<long>, found array<struct<a:int,b:int,g:int,logp:double,p:double>>"
+class Rules:
+    """What the corpus decided: the text model, and for each length class the cuts of both tests."""
 
+    def __init__(self, model: list[list[float]], no_text: list[float], patterned: list[float]):
+        self.model, self.no_text, self.patterned = model, no_text, patterned
 
-def scan(docs: DataFrame) -> tuple[DataFrame, list[float]]:
-    """(``docs`` with a struct column ``__scan``, accepted log p for each length class); texts are read twice."""
+    def secret(self, token: str) -> bool:
+        """Discovered to be no text, and not discovered to be patterned."""
+        encoding = infer_encoding(token)
+        if encoding is None:
+            return False
+        group, log_p = length_class(token), text_log_p(token, encoding, self.model)
+        if log_p >= 0 or max(_FLOOR, math.ceil(log_p)) > self.no_text[group]:
+            return False
+        return whole_log(battery(token, encoding)) > self.patterned[group]
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, kind number) of base and added spans, by start, kind and end."""
+        base = base_spans(text)
+        added, meets = [], None
+        for a, b in candidates(text):
+            if self.secret(text[a:b]):
+                meets = meets or overlap(base)
+                if not meets(a, b):
+                    added.append((a, b, KINDS.index("random")))
+        return sorted(base + added, key=lambda s: (s[0], s[2], s[1])) if added else base
+
+
+def learn(docs: DataFrame, share: float = FALSE_SHARE) -> Rules:
+    """The rules of a corpus, from one pass over all of every text.
+
+    Tasks tell non-zero pair counts and their candidates, each token once with its number; these are
+    checkpointed. The pairs' sums, at most the square of the symbols, make the model. The candidates are
+    tested where they lie, and only two histograms of whole logarithms come to the driver.
+    """
     text_batches(docs.sparkSession)
-    model = text_model(docs).tolist()
+    ddl = "pair long, token string, taken boolean, n long"
+    gathered = checkpoint(columns_of(docs, "text").mapInArrow(gather, ddl))
+    counts = np.zeros(_STATES * _STATES)
+    for r in gathered.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    model = smoothed(counts).tolist()
 
-    @F.arrow_udf(f"struct<{_SCAN.replace(' array', ':array')}>")
-    def tests(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            text = t.as_py() or ""
-            base = base_spans(text)
-            tested, found = candidate_tests(text, model, base)
-            rows.append({
-                "base": [{"a": a, "b": b, "k": k} for a, b, k in base],
-                "tested": tested,
-                "found": [{"a": a, "b": b, "g": g, "logp": lp, "p": p} for a, b, g, lp, p in found],
-            })
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int32())]))
-        test = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("g", pa.int32()), ("logp", pa.float64()), ("p", pa.float64())]))
-        return pa.array(rows, pa.struct([("base", span), ("tested", pa.list_(pa.int64())), ("found", test)]))
-
-    return docs.withColumn("__scan", tests("text")), model
-
-
-def _cuts(scanned: DataFrame, share: float) -> list[float]:
-    """The accepted log p of each length class, from sums over all rows (bounded in size)."""
-    sums = scanned.agg(*[F.sum(F.col("__scan.tested")[k]).alias(f"t{k}") for k in range(len(LENGTHS))]).first()
-    tested = np.array([v or 0 for v in sums], float)
-    found = scanned.select(F.explode("__scan.found").alias("f")).select(F.col("f.g").alias("g"), F.ceil("f.logp").alias("step"))
-    floor = F.greatest(F.col("step"), F.lit(-2000)).alias("step")
-    histogram = {(r["g"], r["step"]): r["count"] for r in found.select("g", floor).groupBy("g", "step").count().collect()}
-    return discoveries(tested, histogram, share)
-
-
-def accepted_spans(scanned: DataFrame, share: float):
-    """An array column of all spans (a, b, k), by start, kind and end."""
-    cut = F.array(*[F.lit(float(x)) for x in _cuts(scanned, share)])
-    added = F.transform(
-        F.filter("__scan.found", lambda f: (F.ceil(f["logp"]) <= F.element_at(cut, f["g"] + 1)) & (f["p"] > LEVEL)),
-        lambda f: F.struct(f["a"].alias("a"), f["b"].alias("b"), F.lit(KINDS.index("random")).alias("k")),
-    )
-    whole = F.concat(F.col("__scan.base"), added)
-    at = lambda s: F.struct(s["a"], s["k"], s["b"])
-    order = lambda x, y: F.when(at(x) < at(y), -1).when(at(x) > at(y), 1).otherwise(0)
-    return F.when(F.size(whole) > 1, F.array_sort(whole, order)).otherwise(whole)
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()  # (test, length class, whole log p); test 0 is the number tested
+        for batch in batches:
+            for token, taken, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                encoding, group = infer_encoding(token), length_class(token)
+                found[0, group, 0] += n
+                found[1, group, whole_log(battery(token, encoding))] += n
+                log_p = text_log_p(token, encoding, model)
+                if log_p < 0 and not taken:
+                    found[2, group, max(_FLOOR, math.ceil(log_p))] += n
+        columns = [*zip(*found)] if found else [[], [], []]
+        rows = [*(pa.array(c, pa.int32()) for c in columns), pa.array(list(found.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(rows, names=["test", "g", "step", "n"])
+
+    tokens = gathered.filter("token is not null").select("token", "taken", "n")
+    sums = tokens.mapInArrow(test, "test int, g int, step int, n long").groupBy("test", "g", "step").agg(F.sum("n").alias("n"))
+    tested, histograms = np.zeros(len(LENGTHS)), ({}, {})
+    for r in sums.collect():  # at most two whole logarithms' ranges a length class
+        if r["test"] == 0:
+            tested[r["g"]] = r["n"]
+        else:
+            histograms[r["test"] - 1][r["g"], r["step"]] = r["n"]
+    return Rules(model, discoveries(tested, histograms[1], share), discoveries(tested, histograms[0], share))
 
 
 def _text_of(spans) -> F.Column:
@@ -300,18 +355,25 @@ def secret_digest(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
 
     Null and empty texts have no spans, an empty ``spans`` and the digest of no bytes. Added spans never
     overlap a base one, but may overlap each other. Repeated rows and null doc_ids are rows of their own (copies of a token
-    are tests of their own); other columns are ignored; an empty table gives no rows.
+    are tests of their own); other columns are ignored; an empty table gives no rows. Texts are read twice, without a shuffle.
     """
     rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = checkpoint(scan(rows)[0].select("doc_id", "__scan"))
-    count = lambda k: F.size(F.filter("__scan.base", lambda s: s["k"] == k)).cast("long")
-    return scanned.select(
+    rules = learn(rows, share)
+
+    @F.arrow_udf("array<struct<a:int,b:int,k:int>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int32())]))
+        return pa.array([[{"a": a, "b": b, "k": k} for a, b, k in rules.spans(t.as_py() or "")] for t in texts], kind)
+
+    found = rows.select("doc_id", spans("text").alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
+    return found.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(_text_of(F.col("__scan.base")), 256).alias("base_sha256"),
-        _text_of(accepted_spans(scanned, share)).alias("spans"),
+        F.sha2(_text_of(F.filter("spans", lambda s: s["k"] < KINDS.index("random"))), 256).alias("base_sha256"),
+        _text_of(F.col("spans")).alias("spans"),
     )
 
 
@@ -319,30 +381,27 @@ def redact(docs: DataFrame, share: float = FALSE_SHARE, mark: str = "[SECRET]")
     """``docs`` with every found span of ``text`` replaced by ``mark``; overlapping spans get one mark.
 
     Rows and other columns stay; ``n_chars``, where present, follows the new text, and
-    texts without a span stay as they are.
+    texts without a span, null and empty ones too, stay as they are. Repeated rows are changed alike; an empty table
+    stays empty. Texts are read twice, without a shuffle.
     """
-    spans_name = fresh(docs, "secret_spans")
-    scanned = scan(docs)[0]
-    # the spans decide; the text itself is read again rather than kept in a checkpoint
-    spans = accepted_spans(scanned, share)
-    marked = scanned.withColumn(spans_name, spans).drop("__scan")
+    rules = learn(docs, share)
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array) -> pa.Array:
         out = []
-        for t, spans in zip(texts, found):
-            text, held = t.as_py(), spans.as_py()
-            if held:
+        for t in texts:
+            text = t.as_py()
+            if text and (held := rules.spans(text)):
                 parts, at = [], 0
-                for s in held:
-                    if s["a"] >= at:
-                        parts += [text[at : s["a"]], mark]
-                    at = max(at, s["b"])
+                for a, b, _ in held:
+                    if a >= at:
+                        parts += [text[at:a], mark]
+                    at = max(at, b)
                 text = "".join([*parts, text[at:]])
             out.append(text)
         return pa.array(out, pa.string())
 
-    changed = marked.withColumn("text", cut("text", spans_name)).drop(spans_name)
+    changed = docs.withColumn("text", cut("text"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
