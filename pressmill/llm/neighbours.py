@@ -12,14 +12,17 @@ from pyspark.sql.window import Window
 
 from .common import checkpoint, columns_of, parallelism
 
-#: Vectors that pivots are chosen from, at most, by a hash of vec_id; the index holds every vector.
+#: Vectors that pivots are chosen from, at most, by a hash of the vector; the index holds every vector.
 FIT_ROWS = 4096
-PIVOTS = 256
-#: Nearest pivots that represent a vector, in order.
-PREFIX = 64
-#: Different vectors in a block of the index, and share of a block that is reranked exactly.
-BLOCK, RERANK = 8192, 0.2
-QUERIES = 2048
+PIVOTS = 1024
+#: Nearest pivots that represent a vector, in order: it is posted to their inverted files, and a query looks into those of its own.
+PREFIX = 96
+#: Share of a block that is reranked exactly, after ranking by footrule.
+RERANK = 0.1
+#: Bytes of the different vectors of a block, at least (where there are fewer blocks than tasks) and at most.
+BLOCK_LEAST, BLOCK = 4 << 20, 32 << 20
+#: Bytes of the different query vectors that meet a block in one task.
+QUERIES = 16 << 20
 
 
 def choose_pivots(sample: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -41,10 +44,16 @@ def lift(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, rest[:, None]])
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarray:
+def prefixes(x: np.ndarray, pivots: np.ndarray, size: int, step: int = 4096) -> np.ndarray:
     """The numbers of each row's nearest pivots, nearest first (ties to the smaller number)."""
-    distance = (pivots * pivots).sum(1) - 2 * x @ pivots.T
-    return np.argsort(distance, axis=1, kind="stable")[:, :size]
+    out, square = np.empty((len(x), size), np.int32), (pivots * pivots).sum(1)
+    for at in range(0, len(x), step):
+        distance = square - 2 * x[at : at + step] @ pivots.T
+        near = np.argpartition(distance, size - 1, axis=1)[:, :size]
+        near.sort(axis=1)
+        order = np.argsort(np.take_along_axis(distance, near, 1), axis=1, kind="stable")
+        out[at : at + step] = np.take_along_axis(near, order, 1)
+    return out
 
 
 class InvertedFiles:
@@ -54,27 +63,26 @@ class InvertedFiles:
         rows, size = prefix.shape
         self.rows, self.size = rows, size
         order = np.argsort(prefix.ravel(), kind="stable")
-        self.row, self.place = order // size, order % size
+        self.row, self.place = (order // size).astype(np.int32), (order % size).astype(np.int32)
         self.edges = np.searchsorted(prefix.ravel()[order], np.arange(pivots + 1))
 
     def footrule(self, prefix: np.ndarray) -> np.ndarray:
         """Spearman's footrule of every row to a prefix, a missing pivot standing just past its end.
 
-        It starts from that of disjoint prefixes, and each pivot that both have takes its part off.
+        It starts from that of disjoint prefixes, and each pivot that both have takes its part off:
+        only the files of the prefix's own pivots are read.
         """
-        size = self.size
-        total = np.full(self.rows, size * (size + 1), np.int32)
-        for own, pivot in enumerate(prefix.tolist()):
-            a, b = self.edges[pivot], self.edges[pivot + 1]
-            total[self.row[a:b]] -= (2 * (size - np.maximum(self.place[a:b], own))).astype(np.int32)
-        return total
+        size, files = self.size, [(own, self.edges[p], self.edges[p + 1]) for own, p in enumerate(prefix.tolist())]
+        rows = np.concatenate([self.row[a:b] for _, a, b in files])
+        shared = np.concatenate([size - np.maximum(self.place[a:b], own) for own, a, b in files])
+        return size * (size + 1) - 2 * np.bincount(rows, shared, self.rows).astype(np.int64)
 
 
 def search_block(vectors: np.ndarray, first_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, longest: float, k: int, share: float, prefix: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query numbers, row numbers, exact inner products) of each query's best rows among the reranked ones.
 
     Rows are ranked by footrule (ties to the smaller first id); the best share of the
-    block, and at least ten times those kept, is reranked in double precision. ``alone`` marks rows that
+    block, and at least twenty times those kept, is reranked in double precision. ``alone`` marks rows that
     hold no id but their first. Without those of any one id, ``k`` rows are left, or all the others.
     """
     order = np.argsort(first_ids, kind="stable")
@@ -84,11 +92,11 @@ def search_block(vectors: np.ndarray, first_ids: np.ndarray, queries: np.ndarray
     asked = prefixes(np.hstack([queries, np.zeros((len(queries), 1))]), pivots, prefix)
     n = len(vectors)
     keep = k + min(k, most)
-    budget = min(n, max(10 * keep, ceil(share * n)) + most - 1)
+    budget = min(n, max(20 * keep, ceil(share * n)) + most - 1)
     numbers, rows, scores = [], [], []
     position = np.arange(n)
     for number, (query, own) in enumerate(zip(queries, asked)):
-        far = index.footrule(own).astype(np.int64) * n + position
+        far = index.footrule(own) * n + position
         near = np.argpartition(far, budget - 1)[:budget] if budget < n else position
         exact = inner(vectors[near], query)
         best = np.lexsort((near, -exact))
@@ -144,42 +152,60 @@ def vector_classes(embeddings: DataFrame, keep: int) -> tuple[DataFrame, DataFra
     return usable.select("vec_id", "key"), one.join(ids, "key")
 
 
+def sample_of(classes: DataFrame, dims: int, rows: int = FIT_ROWS) -> dict[int, np.ndarray]:
+    """Vectors of each length that pivots are chosen from, ``rows`` in all at most (one a length at least)."""
+    each = max(1, rows // dims)
+    place = Window.partitionBy("d").orderBy("key")
+    held = classes.select(F.size("vector").alias("d"), "key", "vector").withColumn("r", F.row_number().over(place))
+    found: dict[int, list] = {}
+    for r in held.filter(F.col("r") <= each).select("d", "r", "vector").collect():
+        found.setdefault(r["d"], []).append((r["r"], r["vector"]))
+    return {d: np.array([v for _, v in sorted(own)]) for d, own in found.items()}
+
+
 def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float = RERANK, pivots: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query row.
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all
     rows but the query's own. Vectors null, zero, or with a null or
-    non-finite component take no part, nor do null ids or vectors whose length is not
-    the commonest one (ties: the shorter). Repeated rows with one vec_id count once for each. Fewer
+    non-finite component take no part, nor do null ids. Vectors of different lengths have no inner product:
+    each length is an index of its own, and a query is answered from that of its length.
+    Repeated rows with one vec_id count once for each. Fewer
     candidates than ``k`` are all returned; an empty table gives no rows.
 
     Different vectors are dealt to blocks of the index, and different query vectors to groups; every
-    pair of block and group is a task of bounded size. Pivots come from a bounded sample.
+    pair of block and group is a task of bounded size, and a block is sent once a group. Pivots come from a bounded sample.
     """
     spark = embeddings.sparkSession
     keep = k + 1  # the query's own id may be among them, once in a class
     rows, classes = vector_classes(embeddings, keep)
     classes = checkpoint(classes)
-    sizes = classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
-    common = sizes.orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], schema)
-    classes = classes.filter(F.size("vector") == common["d"])
-    longest = float(common["norm"]) ** 0.5
-    sample = classes.orderBy("key").limit(FIT_ROWS).select("vector").collect()  # at most FIT_ROWS vectors
-    chosen = choose_pivots(lift(np.array([r["vector"] for r in sample]), longest), pivots)
-    prefix = min(prefix, len(chosen))
-
-    asking = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    asked_keys = asking.select("key").distinct()
-    asked = classes.join(asked_keys, "key", "left_semi").select("key", "vector")
-    n, q = common["n"], asked.count()
-    blocks, groups = max(1, ceil(n / BLOCK)), max(1, ceil(q / QUERIES))
-    deal = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
-    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    held = classes.select("key", "vector", F.col("ids")[0]["vec_id"].alias("first_id"), (F.size("ids") == 1).alias("alone"), deal("key", blocks).alias("block"), all_of(groups).alias("part"))
-    wanted = asked.select(F.col("key").alias("query"), F.col("vector").alias("asked"), deal("key", groups).alias("part"), all_of(blocks).alias("block"))
+    asking = checkpoint(rows.filter(F.pmod("vec_id", F.lit(every)) == 0))
+    size, norm = F.size("vector").alias("d"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    asked = classes.join(asking.select("key").distinct(), "key", "left_semi").select("key", "vector")
+    counts = classes.groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"))
+    # a row for each length of vectors
+    lengths = counts.join(asked.groupBy(size).agg(F.count(F.lit(1)).alias("q")), "d").collect()
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    longest = {r["d"]: float(r["norm"]) ** 0.5 for r in lengths}
+    chosen = {d: choose_pivots(lift(x, longest[d]), pivots) for d, x in sample_of(classes.filter(size.isin(list(longest))), len(lengths)).items()}
+    shared = spark.sparkContext.broadcast(chosen)  # at most FIT_ROWS vectors
+
+    tasks = parallelism(spark)
+    size_of = lambda n, d: 8 * n * d
+    blocks = {r["d"]: max(1, ceil(size_of(r["n"], r["d"]) / BLOCK), min(tasks, size_of(r["n"], r["d"]) // BLOCK_LEAST)) for r in lengths}
+    groups = {r["d"]: ceil(size_of(r["q"], r["d"]) / QUERIES) for r in lengths}
+
+    def parts(counted: dict[int, int]):
+        book = F.create_map(*[F.lit(x) for pair in counted.items() for x in pair])
+        return F.element_at(book, F.size("vector"))
+
+    deal = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    indexed = classes.filter(size.isin(list(longest)))
+    held = indexed.select(size, "key", "vector", F.col("ids")[0]["vec_id"].alias("first_id"), (F.size("ids") == 1).alias("alone"), deal("key", parts(blocks)).alias("block"), all_of(parts(groups)).alias("part"))
+    wanted = asked.select(size, F.col("key").alias("query"), F.col("vector").alias("asked"), deal("key", parts(groups)).alias("part"), all_of(parts(blocks)).alias("block"))
     names = pa.schema([("query", pa.string()), ("key", pa.string()), ("score", pa.float64())])
 
     def matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -189,11 +215,14 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float =
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return names.empty_table()
+        d = left.column("d")[0].as_py()
+        own = shared.value[d]
         alone = left.column("alone").to_numpy()
-        asking, found, score = search_block(matrix(left, "vector"), left.column("first_id").to_numpy(), matrix(right, "asked"), chosen, longest, k, share, prefix, alone)
+        asking, found, score = search_block(matrix(left, "vector"), left.column("first_id").to_numpy(), matrix(right, "asked"), own, longest[d], k, share, min(prefix, len(own)), alone)
         return pa.Table.from_arrays([right.column("query").take(pa.array(asking)), left.column("key").take(pa.array(found)), pa.array(score)], schema=names)
 
-    near = held.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(work, "query string, key string, score double")
+    by = ["d", "block", "part"]
+    near = held.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInArrow(work, "query string, key string, score double")
     # classes to ids: at most k entries of one id, and 2 k of all, so that k are left without those of any one id
     listed = near.join(classes.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("id")).select("query", "score", "id.vec_id", "id.n")
     own = Window.partitionBy("query", "vec_id").orderBy(F.desc("score"))

@@ -141,7 +141,7 @@ def test_battery_equals_the_plain_one():
 def test_long_texts_nulls_and_repeats(spark):
     rng = np.random.default_rng(24)
     blob = "".join(rng.choice(list(secrets.ENCODINGS["base64"]), 300_000))
-    rows = [(1, blob), (1, blob), (None, None), (2, ""), (3, "a" * 200_000), (4, "password = " * 3000)]
+    rows = [(1, blob), (1, blob), (None, None), (2, ""), (3, "g" * 200_000), (4, "password = " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secrets.secret_digest(df).collect()}
     assert got[None] == got[2] == got[3] == ""
