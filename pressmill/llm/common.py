@@ -18,12 +18,14 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (as in
-    tests on one machine) a folder of our own is made and registered.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and all
+    runs on one machine, a folder of our own is made and registered.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pressmill-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -55,7 +57,9 @@ def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """Send at most so many whole texts to Python at a time.
 
     The session's limit is lowered, never raised: batches of thousands of long
-    texts stand in memory several times over, in the JVM and in the worker.
+    texts stand in memory several times over, in the JVM and in the worker. Every operator
+    that sends texts calls this, so its memory does not depend on what ran before it;
+    ``build_session`` sets the same limit from the start.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
@@ -98,6 +102,27 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     )
 
 
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """Keys of ``counts(key, n)`` that hold more than an even task's share of all rows: no more than there are tasks."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    share = total / parallelism(counts.sparkSession)
+    return [r[key] for r in counts.filter(F.col(n) > share).select(key).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; rows of a hot key are dealt to as many tasks as there are.
+
+    ``left`` must come from a checkpoint or a file, so that a row keeps its number when a task is run again.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    salts, spot = parallelism(left.sparkSession), fresh(left, "__spot")
+    is_hot = F.col(key).isin(hot)
+    salted = left.withColumn(spot, F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"))
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return salted.join(right.withColumn(spot, copies), [key, spot], how).drop(spot)
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns_of, fresh, parallelism, text_batches
+from .common import checkpoint, columns_of, fresh, hot_keys, parallelism, spread_join, text_batches
 
 SHINGLE = 4
 BUDGET = 4
@@ -18,6 +18,8 @@ SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles hashed at a time, so that a very long text needs no more memory than another.
 _SLICE = 200_000
+#: Entries that a task joins at a time, or a single trie where that has more.
+_TRIES = 500_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -153,51 +155,64 @@ def block_value(fp, at: int, width: int):
     return fp if width == 64 else F.shiftrightunsigned(fp, at).bitwiseAND((1 << width) - 1)
 
 
-def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+def near_links(distinct: DataFrame, budget: int = BUDGET, name: str = "fp") -> DataFrame:
     """(fp, root): links between distinct fingerprints that join all within ``budget`` bits.
 
     Fingerprints within the budget agree on at least one of budget + 1 blocks.
     Each is sent once for each block to the trie of that block's value; a task
-    joins the tries it got, and emits a link from each key to the smallest of
+    joins the tries it got, some whole ones at a time, and emits a link from each key to the smallest of
     its component there. The links are a spanning forest, never the pairs of
-    a group.
+    a group. Both ends are told by the column ``name``, which must differ between fingerprints.
     """
     layout = block_layout(budget)
-    entries = distinct.select("fp", F.explode(F.array(*[
+    entries = distinct.select("fp", F.col(name).alias("name"), F.explode(F.array(*[
         F.struct(F.lit(k).alias("block"), block_value(F.col("fp"), at, width).alias("value"))
         for k, (at, width) in enumerate(layout)
-    ])).alias("key")).select("fp", "key.block", "key.value")
+    ])).alias("key")).select("fp", "name", "key.block", "key.value")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        fps = table.column("fp").to_numpy().view(np.uint64)
+    def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The links of whole tries."""
+        fps, names = table.column("fp").to_numpy().view(np.uint64), table.column("name").combine_chunks()
         block, value = table.column("block").to_numpy(), table.column("value").to_numpy()
         for k, (at, width) in enumerate(layout):
-            mine = block == k
-            if not mine.any():
+            mine = np.flatnonzero(block == k)
+            if not len(mine):
                 continue
             # the trie's keys are the other bits, rotated so that the block is on top and equal
             own, top = fps[mine], value[mine].astype(np.uint64)
             turn = np.uint64(at + width)
             turned = own if at + width == 64 else (own << (np.uint64(64) - turn)) | (own >> turn)
             order = np.argsort(turned, kind="stable")
-            turned, own, top = turned[order], own[order], top[order]
+            turned, top, mine = turned[order], top[order], mine[order]
             tops = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(top)]])
             root = trie_links(turned, tops, 64 - width, budget)
-            linked = root != np.arange(len(root))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[linked].view(np.int64)), pa.array(own[root[linked]].view(np.int64))], names=["fp", "root"]
-            )
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(mine[linked])), names.take(pa.array(mine[root[linked]]))], names=["fp", "root"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > _TRIES:
+                table = pa.Table.from_batches(held)
+                block, value = table.column("block").to_numpy(), table.column("value").to_numpy()
+                open_ = np.flatnonzero((block != block[-1]) | (value != value[-1]))
+                whole = int(open_[-1]) + 1 if len(open_) else 0  # the last trie may go on
+                if whole:
+                    yield from join(table.slice(0, whole))
+                held, n = table.slice(whole).to_batches(), table.num_rows - whole
+        if n:
+            yield from join(pa.Table.from_batches(held))
 
     parts = parallelism(distinct.sparkSession)
-    return entries.repartition(parts, "block", "value").mapInArrow(work, "fp long, root long")
+    kind = distinct.schema[name].dataType.simpleString()
+    tries = entries.repartition(parts, "block", "value").sortWithinPartitions("block", "value")
+    return tries.mapInArrow(work, f"fp {kind}, root {kind}")
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of a link between two nodes.
+    """(node, component): the smallest node reachable, for every node of a link between two nodes of any ordered type.
 
     Large-star and small-star rounds alternate until nothing changes: each
     node's larger neighbours, then its smaller ones, are tied to its smallest neighbour.
@@ -230,10 +245,13 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def with_tops(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``distinct(fp, ...)`` with ``top``: the smallest fingerprint of each one's component."""
-    reached = components(near_links(distinct.select("fp"), budget), "fp", "root")
-    found = distinct.join(reached, distinct.fp == reached.node, "left")
-    return found.select(*[distinct[c] for c in distinct.columns], F.coalesce("component", "fp").alias("top"))
+    """``distinct(fp, name, ...)`` with ``top``: the smallest name of each one's component.
+
+    The components are told by names from the start, so that no later step brings one of them together.
+    """
+    reached = components(near_links(distinct, budget, "name"), "fp", "root")
+    found = distinct.join(reached, distinct.name == reached.node, "left")
+    return found.select(*[distinct[c] for c in distinct.columns], F.coalesce("component", "name").alias("top"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -248,13 +266,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET)
     are kept; other columns are ignored; an empty table gives no rows.
     """
     marked = checkpoint(fingerprints(docs, width))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = checkpoint(distinct)
-    # the smallest node of a component of fingerprints, and then its smallest doc_id
-    placed = with_tops(distinct, budget)
-    ids = placed.groupBy("top").agg(F.min("first").alias("component_id"))
-    named = placed.join(ids, "top").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # fingerprints are named by their smallest doc_id, then by themselves
+    name = F.struct(F.col("first").isNull().alias("last"), "first", "fp").alias("name")
+    distinct = checkpoint(distinct.select("fp", "n", name))
+    named = with_tops(distinct, budget).select("fp", F.col("top.first").alias("component_id"))
+    return spread_join(marked, named, "fp", hot_keys(distinct, "fp", "n")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -264,6 +281,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET) -> Dat
 
     Null doc_ids come after all others. A doc_id alone never drops a row: rows of one doc_id with different
     texts stay or go by their own components. Rows equal in both doc_id and text count as copies; all columns stay.
+    Null, empty and blank texts are one component; an empty table stays empty. Whole texts are shuffled once.
     """
     if not docs.columns:
         return docs
@@ -271,10 +289,11 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET) -> Dat
     number = lambda: F.col("doc_id").cast("long")
     key = F.concat_ws(":", F.coalesce(number().cast("string"), F.lit("")), F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("")))
     mark = fresh(docs, "kept_key")
-    marked = fingerprints(docs, width, key.alias(mark))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", mark)
-    distinct = checkpoint(marked.groupBy("fp").agg(F.min(place).alias("first")))
-    firsts = with_tops(distinct, budget).groupBy("top").agg(F.min("first").alias("first"))
+    marked = fingerprints(docs, width, key.alias("key"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    distinct = checkpoint(marked.groupBy("fp").agg(F.min(place).alias("name")))
+    # of each component, the fingerprint whose name is the smallest
+    firsts = with_tops(distinct, budget).filter("name = top").select(F.col("name.key").alias(mark))
     # rows of one key meet before the join, part by part, so that a very common one is not one task
     copies = docs.withColumn(mark, key).dropDuplicates([mark])
-    return copies.join(firsts.select(F.col(f"first.{mark}").alias(mark)), mark, "left_semi").select(*docs.columns)
+    return copies.join(firsts, mark, "left_semi").select(*docs.columns)
