@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -53,6 +54,36 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The plan's own estimate of a table's size; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
+#: Size of a range of documents, by the plan's estimate, where that asks for more ranges than there are shuffle partitions.
+RANGE_BYTES = 128 << 20
+
+
+def in_id_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in partitions that follow one another in ascending doc_id, null ids first, rows of one id by text.
+
+    Ranges are cut by Spark's sample of ids and of the first characters of texts, so that rows of
+    one doc_id, or without any, need not fall into one range.
+    """
+    parts = max(parallelism(docs.sparkSession), -(-plan_bytes(docs) // RANGE_BYTES))
+    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    by = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(parts, by, F.left("text", F.lit(24)).asc_nulls_first())
+    return dealt.sortWithinPartitions(by, F.col("text").asc_nulls_first())
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table of its own in the shared folder, and read again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """Send at most so many whole texts to Python at a time.
 

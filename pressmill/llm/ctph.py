@@ -8,17 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, parallelism
-from .dac import id_ranges, range_of
+from .common import in_id_order, stored, text_batches
 
 #: Bytes that the rolling hash sees.
 SPAN = 7
 SMALLEST_BLOCK = 3
-#: Signature characters that the block size aims at; a signature is cut off at none.
-TARGET = 64
+#: Signature characters that the block size aims at, and the most that it gives.
+TARGET, MOST = 64, 256
 #: Signatures without a common run of so many characters (or of the shorter one) are unlike.
 RUN = 3
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -53,18 +53,21 @@ def fingerprint(text: str | None) -> str:
 
     A piece ends where the rolling hash, modulo the block size, is the block
     size less one. The block size is the smallest 3 * 2**k whose expected
-    number of pieces is TARGET or fewer, halved while it finds less than half of those.
+    number of pieces is TARGET or fewer, halved while it finds less than half of those (and the half not over MOST),
+    doubled while it finds over MOST, as in texts of one repeated letter. Ends at a doubled size are ends at the size itself.
     """
     data = (text or "").encode("utf-8", "surrogatepass")
     block = SMALLEST_BLOCK
     while block * TARGET < len(data):
         block *= 2
     roll = rolling(np.frombuffer(data, np.uint8))
-    while True:
-        ends = np.flatnonzero(roll % np.uint32(block) == block - 1)
-        if len(ends) >= TARGET // 2 or block == SMALLEST_BLOCK:
-            break
-        block //= 2
+    found = lambda size: np.flatnonzero(roll % np.uint32(size) == size - 1)
+    ends = found(block)
+    while len(ends) > MOST:
+        block *= 2
+        ends = ends[roll[ends] % np.uint32(block) == block - 1]
+    while len(ends) < TARGET // 2 and block > SMALLEST_BLOCK and len(finer := found(block // 2)) <= MOST:
+        block, ends = block // 2, finer
     wide = ends[roll[ends] % np.uint32(2 * block) == 2 * block - 1]
     return f"{block}:{signature(data, (ends + 1).tolist())}:{signature(data, (wide + 1).tolist())}"
 
@@ -110,29 +113,6 @@ def likeness(left: str, right: str) -> float:
     return max((_alike(x, y) for x, y in pairs), default=0.0)
 
 
-def with_successors(docs: DataFrame) -> DataFrame:
-    """(part, guard, doc_id, text) sorted so that each document is followed by the next in doc_id order.
-
-    Documents are dealt to ranges of doc_id; the first document of the next
-    range (after the last: of the first) comes along as a guard row. Only
-    those first ids, one a range, are broadcast.
-    """
-    spark = docs.sparkSession
-    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = id_ranges(rows, parallelism(spark))
-    rows = rows.withColumn("part", range_of(F.col("doc_id"), bounds))
-    place = F.struct(F.col("doc_id").isNotNull().alias("held"), "doc_id")
-    firsts = sorted((r["part"], r["first"]["doc_id"]) for r in rows.groupBy("part").agg(F.min(place).alias("first")).collect())
-    before = [(doc, firsts[k - 1][0]) for k, (_, doc) in enumerate(firsts)]
-    guards = spark.createDataFrame(before, "guard_id long, guard_of int")
-    joined = rows.join(F.broadcast(guards), rows.doc_id.eqNullSafe(guards.guard_id), "left")
-    own = F.struct("part", F.lit(0).alias("guard"))
-    lent = F.struct(F.col("guard_of").alias("part"), F.lit(1).alias("guard"))
-    both = F.when(F.col("guard_of").isNull(), F.array(own)).otherwise(F.array(own, lent))
-    dealt = joined.select("doc_id", "text", F.explode(both).alias("to")).select("to.part", "to.guard", "doc_id", "text")
-    return dealt.repartition(parallelism(spark), "part").sortWithinPartitions("part", "guard", "doc_id", "text")
-
-
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of ``docs(doc_id, text)`` and of its edited text, with two likenesses.
 
@@ -142,10 +122,17 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     are empty, and an empty text's edited text is empty, so they are alike. One
     document alone is its own next. Other columns are ignored; an
     empty table gives no rows.
+
+    Texts are dealt to ranges of doc_id once. The first and last document of each range are stored with the results;
+    the last of a range then meets the first of the next, two texts a range.
     """
+    spark = docs.sparkSession
+    text_batches(spark)
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = pa.schema(list(zip(names, kinds)))
+    edge_kinds = [pa.int32(), pa.bool_(), pa.string()]
+    schema = pa.schema(list(zip([*names, "part", "opens", "text"], kinds + edge_kinds)))
+    ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def row(doc, text: str, own: str, after: str, then: str) -> tuple:
         n = len(text)
@@ -154,19 +141,39 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         return doc, n, digest, own, print_, likeness(own, print_), likeness(own, then)
 
+    def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, doc_id, text, fingerprint) that waits for its next
+        part, held = TaskContext.get().partitionId(), None  # held: (doc_id, text, fingerprint) that waits for its next
+        edge = lambda opens: (held[0], None, None, held[2], None, None, None, part, opens, held[1])
         for batch in batches:
             out = []
-            for part, guard, doc, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if guard and (held is None or held[0] != part):
-                    continue  # a further row of the guard's doc_id
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
                 mark = fingerprint(text)
-                if held is not None and held[0] == part:
-                    out.append(row(held[1], held[2], held[3], text, mark))
-                held = None if guard else (part, doc, text, mark)
-            columns = list(zip(*out)) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema=schema)
+                if held is not None:
+                    out.append((*row(*held, text, mark), None, None, None))
+                first, held = held is None, (doc, text, mark)
+                if first:
+                    out.append(edge(True))
+            yield batch_of(out, schema)
+        if held is not None:
+            yield batch_of([edge(False)], schema)
+
+    made = stored(in_id_order(docs).mapInArrow(work, ddl + ", part int, opens boolean, text string"), "fingerprints")
+    edges = made.filter("part is not null")
+    parts = sorted(r["part"] for r in edges.filter("opens").select("part").collect())  # a number a range
+    if not parts:
+        return made.select(*names)
+    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
+    heads = edges.filter("opens").select(F.col("part").alias("next_part"), F.col("text").alias("after"), F.col("fingerprint").alias("then"))
+    met = edges.filter("not opens").join(following, "part").join(heads, "next_part").select("doc_id", "text", "fingerprint", "after", "then")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [row(doc, *texts) for doc, *texts in zip(*(c.to_pylist() for c in batch.columns))]
+            yield batch_of(found, pa.schema(list(zip(names, kinds))))
 
-    ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_successors(docs).mapInArrow(work, ddl)
+    return made.filter("part is null").select(*names).unionByName(met.mapInArrow(last, ddl))

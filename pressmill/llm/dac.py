@@ -15,22 +15,22 @@ start at multiples of eight bytes, so a mapped file is read in place.
 from __future__ import annotations
 
 import io
-import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import columns_of, filesystem, parallelism, shared_dir
+from .common import filesystem, in_id_order, shared_dir, text_batches
 from .tokens import byte_bpe
 
 MAGIC = b"DACIDS01"
+#: A file ends with the document that brings it to so many ids.
+FILE_IDS = 8_000_000
 RANK_STEP = 512
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
@@ -127,68 +127,46 @@ class TokenFile:
         return out
 
 
-def id_ranges(docs: DataFrame, parts: int) -> list[int]:
-    """Inner bounds of near-equal ranges of doc_id, from a column-pruned scan; at most ``parts`` numbers."""
-    at = [k / parts for k in range(1, parts)]
-    if not at:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", F.lit(at), F.lit(20_000))).first()[0]
-    return sorted(set(found or []))
-
-
-def range_of(doc_id, bounds: list[int]):
-    """0 to len(bounds): the number of bounds below or at the id; nulls are in range 0."""
-    held = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    return F.coalesce(F.aggregate(held, F.lit(0), lambda n, b: n + F.when(b <= doc_id, 1).otherwise(0)), F.lit(0))
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
-    """Write the ids of all documents in ascending doc_id order; one row a file: (part, path, docs, tokens).
+    """Write the ids of all documents in ascending doc_id order; one row a file: (part, number, path, docs, tokens).
 
-    Documents are dealt to ranges of doc_id whose bounds come from a scan of
-    that column alone. A task writes a range's file under a name of its own
-    and then moves it to its final name, so a repeated or speculative task
-    replaces a file by an equal one.
+    A task writes the files of a range of doc_id, each of bounded size (or of one document), and holds no more than
+    one of them. It writes under a name of its own and then moves the file to its final name,
+    so a repeated or speculative task replaces a file by an equal one.
     """
-    parts = parallelism(docs.sparkSession)
-    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = id_ranges(rows, parts)
-    dealt = (
-        rows.withColumn("part", range_of(F.col("doc_id"), bounds))
-        .repartition(parts, "part")
-        .sortWithinPartitions("part", "doc_id", "text")
-    )
+    text_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
-    def save(part: int, doc_ids: list, blobs: list[bytes]) -> pa.RecordBatch:
+    def save(part: int, number: int, doc_ids: list, blobs: list[bytes]) -> pa.RecordBatch:
         offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])])
-        data = encode(doc_ids, offsets, np.frombuffer(b"".join(blobs), "<u4"))
+        ids = np.frombuffer(b"".join(blobs), "<u4")
+        blobs.clear()
+        data = encode(doc_ids, offsets, ids)
         store, base = filesystem(folder)
-        final, trial = f"{base}/part-{part:06d}.dac", f"{base}/.trial-{uuid.uuid4().hex}"
+        name, trial = f"part-{part:06d}-{number:06d}.dac", f"{base}/.trial-{uuid.uuid4().hex}"
         store.create_dir(base, recursive=True)
         with store.open_output_stream(trial) as f:
             f.write(data)
-        store.move(trial, final)
-        row = [[part], [f"{folder}/part-{part:06d}.dac"], [len(doc_ids)], [int(offsets[-1])]]
+        store.move(trial, f"{base}/{name}")
+        row = [[part], [number], [f"{folder}/{name}"], [len(doc_ids)], [int(offsets[-1])]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, schema.types)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = byte_bpe(tokenizer)
-        part, doc_ids, blobs = None, [], []
+        codec, part = byte_bpe(tokenizer), TaskContext.get().partitionId()
+        number, size, doc_ids, blobs = 0, 0, [], []
         for batch in batches:
-            parts_here = batch.column(2).to_pylist()
-            for own, doc, text in zip(parts_here, batch.column(0).to_pylist(), batch.column(1)):
-                if own != part and doc_ids:
-                    yield save(part, doc_ids, blobs)
-                    doc_ids, blobs = [], []
-                part = own
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 doc_ids.append(doc)
                 blobs.append(codec.ids(text.as_py()) + end)
+                size += len(blobs[-1]) // 4
+                if size >= FILE_IDS:
+                    yield save(part, number, doc_ids, blobs)
+                    number, size, doc_ids, blobs = number + 1, 0, [], []
         if doc_ids:
-            yield save(part, doc_ids, blobs)
+            yield save(part, number, doc_ids, blobs)
 
-    return dealt.mapInArrow(work, "part int, path string, docs long, tokens long")
+    return in_id_order(docs).mapInArrow(work, "part int, number int, path string, docs long, tokens long")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,14 +207,12 @@ def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     if not written:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     before, starts = 0, []
-    for part, path, _, tokens in sorted(written):
-        starts.append((int(re.search(r"part-(\d+)\.dac$", path)[1]), before))
+    for part, number, _, _, tokens in sorted(written):
+        starts.append((part, number, before))
         before += tokens
-    firsts = spark.createDataFrame(starts, "part int, files_before long")
-    rows = read_token_files(spark, folder).withColumn(
-        "part", F.regexp_extract("path", r"part-(\d+)\.dac$", 1).cast("int")
-    )
-    # one row a file: as many as there are shuffle partitions
-    return rows.join(F.broadcast(firsts), "part").select(
+    firsts = spark.createDataFrame(starts, "part int, number int, files_before long")
+    place = lambda k: F.regexp_extract("path", r"part-(\d+)-(\d+)\.dac$", k).cast("int")
+    rows = read_token_files(spark, folder).withColumn("part", place(1)).withColumn("number", place(2))
+    return rows.join(firsts, ["part", "number"]).select(
         "doc_id", (F.col("tokens_before") + F.col("files_before")).alias("start"), "n_tokens", "ids_crc32"
     )

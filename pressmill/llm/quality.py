@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discr
 
     Documents whose labels disagree or are null or not 0 or 1 take no part. The
     sample is the smallest hashes of doc_id among all labels; its statistics, a
-    few MB at that bound, come to the driver.
+    few MB at that bound, come to the driver. Of documents with one doc_id, that of the smallest statistics is taken.
     """
     text_batches(docs.sparkSession)
     agreed = (
@@ -147,14 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discr
     )
     sample = agreed.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # at most fit_rows pairs of numbers are broadcast
-    chosen = columns_of(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
+    chosen = columns_of(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(stats, pa.list_(pa.float64()))], names=["y", "x"])
+            rows = [batch.column(0).cast(pa.int32()), pa.array(stats, pa.list_(pa.float64())), batch.column(2).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, names=["y", "x", "doc_id"])
 
-    rows = chosen.mapInArrow(work, "y int, x array<double>").limit(2 * fit_rows).toPandas()
+    found = chosen.mapInArrow(work, "y int, x array<double>, doc_id long")
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas()
     if not len(rows):
         return None
     x, y = np.stack(rows["x"].to_list()), rows["y"].to_numpy()
@@ -190,7 +192,11 @@ def scorer(model: Discriminant | None):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold; all columns stay."""
+    """The rows of ``docs`` whose score reaches the threshold; all columns stay.
+
+    Null and empty texts go or stay by the score of no words, repeated rows alike; without labels of both classes all
+    rows stay; an empty table stays empty.
+    """
     mark = fresh(docs, "quality_score")
     scored = docs.withColumn(mark, scorer(train(docs, labels, fit_rows))("text"))
     return scored.filter(F.col(mark) >= threshold).drop(mark)

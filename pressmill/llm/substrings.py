@@ -2,10 +2,11 @@
 
 Every document is cut into non-overlapping reference blocks of half a window.
 A repeated window holds a whole block of its first occurrence, so a rolling
-window of block length, tried at every word, finds it. Words are compared by
-64-bit hashes of theirs.
+window of block length, tried at every word, finds it. Such a hit is a candidate only: whole windows
+are compared by 96 bits, two hashes of all their words that do not depend on one another,
+so that even 10**13 windows are not expected to hold two unequal ones that pass for equal.
 
-Documents are dealt to chunks by doc_id. A chunk sends each different block
+Documents are dealt to chunks by doc_id and text. A chunk sends each different block
 hash once to the bucket of that hash, however often the passage occurs in it,
 so a very common passage costs one entry a chunk. The buckets answer which
 hashes are a block somewhere and occur elsewhere too. Around such hits the
@@ -17,6 +18,7 @@ maximal exact repeats. Nothing is emitted for pairs of documents.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import compress
 from math import ceil
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh, parallelism, window_hashes, word_bounds, word_hashes
+from .common import columns_of, fresh, parallelism, plan_bytes, text_batches, window_hashes, word_bounds, word_hashes
 
 WINDOW = 20
-#: Text of a chunk, by the size that the plan's statistics give; a parameter of memory only.
-CHUNK_BYTES = 3 << 20
+#: Text of a chunk, and text whose hashes meet in a bucket, by the size that the plan's statistics give; parameters of memory only.
+CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 12 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -40,9 +42,10 @@ class Chunk:
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         keys = np.array([_NULL_ID if d is None else d for d in ids], np.int64)
-        # a document's rank is its doc_id, then its text; equal rows follow one another
-        self.order = sorted(range(len(blobs)), key=lambda k: (keys[k], blobs[k]))
-        self.ids = keys[self.order]
+        ties = np.fromiter(map(zlib.crc32, blobs), np.uint32, len(blobs))
+        # a document's rank is its doc_id, then the checksum of its text; equal rows follow one another
+        self.order = sorted(range(len(blobs)), key=lambda k: (keys[k], ties[k], blobs[k]))
+        self.ids, self.ties = keys[self.order], ties[self.order]
         self.blobs = [blobs[k] for k in self.order]
         data = np.frombuffer(b"\n".join(self.blobs), np.uint8)
         self.data = data
@@ -64,6 +67,10 @@ class Chunk:
         at = np.flatnonzero(inside)
         return at, hashes[at]
 
+    def checks(self, width: int) -> np.ndarray:
+        """A second hash of every window, of 32 bits, by its first word."""
+        return (window_hashes(self.words, width, 3) >> np.uint64(32)).astype(np.uint32)
+
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -131,7 +138,7 @@ def shared_hashes(rows: list[tuple]) -> Iterator[tuple]:
 
 
 def candidates(chunk: Chunk, number: int, shared: list[tuple], window: int, buckets: int) -> Iterator[tuple]:
-    """(bucket, chunk, window hashes, first documents) of the windows that hold a hit."""
+    """(bucket, chunk, window hashes, second hashes, first documents, their ties, occurs again) of the windows that hold a hit."""
     block = window // 2
     if not shared:
         return
@@ -145,32 +152,42 @@ def candidates(chunk: Chunk, number: int, shared: list[tuple], window: int, buck
     starts, whole = chunk.windows(window, 2, window)
     near = hits[starts + window - block + 1] > hits[starts]
     starts, whole = starts[near], whole[near]
-    order = np.lexsort((starts, whole))
-    starts, whole = starts[order], whole[order]
-    first = np.concatenate([[True], whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, bool)
-    ids, whole = chunk.ids[chunk.doc[starts[first]]], whole[first]
+    check = chunk.checks(window)[starts]
+    order = np.lexsort((starts, check, whole))
+    starts, whole, check = starts[order], whole[order], check[order]
+    first = changes(whole, check)
+    doc, whole, check = chunk.doc[starts[first]], whole[first], check[first]
+    ids, ties = chunk.ids[doc], chunk.ties[doc]
     more = np.diff(np.append(np.flatnonzero(first), len(starts))) > 1
     for bucket, own in _slices(bucket_of(whole, buckets)):
-        yield bucket, number, whole[own].tobytes(), ids[own].tobytes(), np.packbits(more[own]).tobytes()
+        yield bucket, number, whole[own].tobytes(), check[own].tobytes(), ids[own].tobytes(), ties[own].tobytes(), np.packbits(more[own]).tobytes()
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of ascending keys is not the one before."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
 
 
 def first_windows(rows: list[tuple]) -> Iterator[tuple]:
-    """(chunk, bucket, repeated window hashes, whether the first is in that chunk)."""
-    keys = [np.frombuffer(r[2], np.uint64) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    more = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(k)) for r, k in zip(rows, keys)])
-    key, ids = np.concatenate(keys), np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
-    order = np.lexsort((ids, key))
-    key, owner, more = key[order], owner[order], more[order]
-    lead = np.concatenate([[True], key[1:] != key[:-1]])
+    """(chunk, bucket, repeated window hashes, second hashes, whether the first is in that chunk)."""
+    rows = sorted(rows, key=lambda r: r[1])  # the last tie goes by chunk
+    sizes = [len(r[2]) // 8 for r in rows]
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    more = np.concatenate([np.unpackbits(np.frombuffer(r[6], np.uint8), count=n) for r, n in zip(rows, sizes)])
+    key, check, ids, ties = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((2, np.uint64), (3, np.uint32), (4, np.int64), (5, np.uint32)))
+    order = np.lexsort((owner, ties, ids, check, key))
+    key, check, owner, more = key[order], check[order], owner[order], more[order]
+    lead = changes(key, check)
     edge = np.flatnonzero(lead)
     size = np.diff(np.append(edge, len(key)))
     told = np.repeat((size > 1) | (np.maximum.reduceat(more, edge) > 0), size)
-    key, owner, lead = key[told], owner[told], lead[told]
-    by_owner = np.lexsort((key, owner))
-    key, owner, lead = key[by_owner], owner[by_owner], lead[by_owner]
+    key, check, owner, lead = key[told], check[told], owner[told], lead[told]
+    by_owner = np.lexsort((check, key, owner))
+    key, check, owner, lead = key[by_owner], check[by_owner], owner[by_owner], lead[by_owner]
     for k, own in _slices(owner):
-        yield rows[k][1], rows[k][0], key[own].tobytes(), np.packbits(lead[own]).tobytes()
+        yield rows[k][1], rows[k][0], key[own].tobytes(), check[own].tobytes(), np.packbits(lead[own]).tobytes()
 
 
 def covered(chunk: Chunk, told: list[tuple], window: int) -> np.ndarray:
@@ -178,16 +195,22 @@ def covered(chunk: Chunk, told: list[tuple], window: int) -> np.ndarray:
     cover = np.zeros(len(chunk.words) + 1, np.int64)
     if told:
         keys = [np.frombuffer(r[2], np.uint64) for r in told]
-        lead = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(k)) for r, k in zip(told, keys)])
-        known = np.concatenate(keys)
-        order = np.argsort(known)
-        known, lead = known[order], lead[order].astype(bool)
+        lead = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(k)) for r, k in zip(told, keys)])
+        known, checks = np.concatenate(keys), np.concatenate([np.frombuffer(r[3], np.uint32) for r in told])
+        order = np.lexsort((checks, known))
+        known, checks, lead = known[order], checks[order], lead[order].astype(bool)
         starts, whole = chunk.windows(window, 2, window)
+        check = chunk.checks(window)[starts]
         spot = np.minimum(np.searchsorted(known, whole), len(known) - 1)
-        match = known[spot] == whole
-        starts, spot, whole = starts[match], spot[match], whole[match]
-        by = np.lexsort((starts, whole))
-        opens = np.concatenate([[True], whole[by][1:] != whole[by][:-1]]) if len(by) else np.zeros(0, bool)
+        while True:  # past unequal windows of one first hash
+            pass_by = (known[spot] == whole) & (checks[spot] < check) & (spot + 1 < len(known))
+            if not pass_by.any():
+                break
+            spot = spot + pass_by
+        match = (known[spot] == whole) & (checks[spot] == check)
+        starts, spot, whole, check = starts[match], spot[match], whole[match], check[match]
+        by = np.lexsort((starts, check, whole))
+        opens = changes(whole[by], check[by])
         stays = opens & lead[spot[by]]  # the first occurrence of all
         gone = starts[by][~stays]
         np.add.at(cover, gone, 1)
@@ -201,8 +224,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 _PROBES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("hashes", "checks", "ids", "ties", "again")]])
 _SHARED = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
-_FIRSTS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("lead", pa.binary())])
+_FIRSTS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("lead", pa.binary())])
 _DDL = {pa.int32(): "int", pa.binary(): "binary"}
 
 
@@ -214,12 +238,9 @@ def _rows(table: pa.Table) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in table.columns)))
 
 
-def chunk_count(docs: DataFrame) -> int:
-    """Chunks of about CHUNK_BYTES by the plan's own size estimate, and one a shuffle partition at least."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # no estimate
-        size = 0
-    return max(parallelism(docs.sparkSession), ceil(size / CHUNK_BYTES))
+def chunk_count(docs: DataFrame, size: int) -> int:
+    """Parts of about ``size`` bytes by the plan's own size estimate, and one a shuffle partition at least."""
+    return max(parallelism(docs.sparkSession), ceil(plan_bytes(docs) / size))
 
 
 def find_repeats(docs: DataFrame, window: int, finish: Callable[[Chunk, np.ndarray, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -227,9 +248,11 @@ def find_repeats(docs: DataFrame, window: int, finish: Callable[[Chunk, np.ndarr
 
     All of it is one plan over one exchange of the texts, which the later steps reuse.
     """
-    chunks = chunk_count(docs)
+    text_batches(docs.sparkSession)
+    chunks = chunk_count(docs, CHUNK_BYTES)
+    buckets = chunk_count(docs, BUCKET_BYTES)
     number = fresh(docs, "chunk_no")
-    held = docs.withColumn(number, F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    held = docs.withColumn(number, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     by_chunk = held.groupBy(number)
 
     def read(table: pa.Table) -> tuple[int, Chunk]:
@@ -237,16 +260,16 @@ def find_repeats(docs: DataFrame, window: int, finish: Callable[[Chunk, np.ndarr
 
     def probe(table: pa.Table) -> pa.Table:
         no, chunk = read(table)
-        return _batch(list(probes(chunk, no, window, chunks)), _PROBES)
+        return _batch(list(probes(chunk, no, window, buckets)), _PROBES)
 
     def meet(table: pa.Table) -> pa.Table:
         return _batch(list(shared_hashes(_rows(table))), _SHARED)
 
     def propose(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _batch([], _PROBES)
+            return _batch([], _WINDOWS)
         no, chunk = read(left)
-        return _batch(list(candidates(chunk, no, _rows(right), window, chunks)), _PROBES)
+        return _batch(list(candidates(chunk, no, _rows(right), window, buckets)), _WINDOWS)
 
     def settle(table: pa.Table) -> pa.Table:
         return _batch(list(first_windows(_rows(table))), _FIRSTS)
@@ -258,7 +281,7 @@ def find_repeats(docs: DataFrame, window: int, finish: Callable[[Chunk, np.ndarr
         return finish(chunk, covered(chunk, _rows(right), window), left.drop([number]))
 
     shared = by_chunk.applyInArrow(probe, _ddl(_PROBES)).groupBy("bucket").applyInArrow(meet, _ddl(_SHARED))
-    proposed = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(propose, _ddl(_PROBES))
+    proposed = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(propose, _ddl(_WINDOWS))
     firsts = proposed.groupBy("bucket").applyInArrow(settle, _ddl(_FIRSTS))
     return by_chunk.cogroup(firsts.groupBy("chunk")).applyInArrow(end, schema)
 
@@ -268,7 +291,7 @@ def repeat_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs without ASCII white space, unchanged. A null, empty or blank text
     has no words, and the digest of no bytes. Documents rank by doc_id (null first),
-    rows of one doc_id by text, and each row is a document of its own. Other
+    rows of one doc_id by their texts' CRC-32, and each row is a document of its own. Other
     columns are ignored; an empty table gives no rows.
     """
     rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -291,7 +314,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated words cut from ``text``; a text without any stays as it is.
 
     A cut takes the word and the white space after it. ``n_chars``, where
-    present, follows the new text. Rows and other columns stay.
+    present, follows the new text. Rows and other columns stay, those of null and empty texts too;
+    of repeated rows the first keeps its words; an empty table stays empty.
     """
 
     def finish(chunk: Chunk, gone: np.ndarray, rows: pa.Table) -> pa.Table:
