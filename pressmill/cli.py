@@ -5,13 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import replace
 from datetime import UTC, datetime
 
-from .operators.extract import FIELDS, Options
+from .operators.extract import FIELDS, Options, extract_articles
 from .operators.pages import extract_whole_articles
 from .session import build_session
-from .sources.crawl import FetchSource, pages_from_responses
+from .sources.crawl import fetch_lookup, fetch_pages, pages_from_responses
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -21,7 +20,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--header", action="append", default=[], metavar="NAME=VALUE")
     parser.add_argument("--no-fetch-all-pages", action="store_true")
     parser.add_argument("--no-fallback", action="store_true")
-    parser.add_argument("--file", help="a saved page instead of fetching the address")
+    parser.add_argument("--file", help="a saved page instead of fetching the address; its following pages are fetched unless told not to")
     return parser.parse_args(args)
 
 
@@ -33,22 +32,20 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps({"error": True, "message": str(e)}), file=sys.stderr)
         return 1
     spark = build_session("article", master="local[2]")
+    headers = dict(h.split("=", 1) for h in got.header if "=" in h)
     if got.file:
         with open(got.file, encoding="utf-8", errors="replace") as f:
             pages = spark.createDataFrame([(0, got.url, f.read())], "page_id long, url string, html string")
     else:
-        spark.dataSource.register(FetchSource)
-        headers = dict(h.split("=", 1) for h in got.header if "=" in h)
-        raw = spark.read.format("fetched_pages").option("urls", got.url).option("headers", json.dumps(headers)).load()
-        pages = pages_from_responses(raw)
-        failed = pages.filter("message is not null").select("message").first()
-        if failed:
-            print(json.dumps({"error": True, "message": failed[0]}), file=sys.stderr)
+        page = pages_from_responses(fetch_pages(spark.createDataFrame([(0, got.url)], "page_id long, url string"), headers)).first()
+        if page["message"]:
+            print(json.dumps({"error": True, "message": page["message"]}), file=sys.stderr)
             return 1
-    from .operators.extract import extract_articles
-
-    make = extract_articles if got.no_fetch_all_pages else lambda p, o: extract_whole_articles(p, o, on_error="stop")
-    row = make(pages, replace(opts)).first()
+        pages = spark.createDataFrame([(0, got.url, page["html"])], "page_id long, url string, html string")
+    if got.no_fetch_all_pages:
+        row = extract_articles(pages, opts).first()
+    else:  # following pages are fetched; one that cannot be fails the article, as its text would lack a part
+        row = extract_whole_articles(pages, opts, find=fetch_lookup(headers)).first()
     if row["error"]:
         print(json.dumps({"error": True, "message": row["message"]}), file=sys.stderr)
         return 1

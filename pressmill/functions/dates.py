@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime, timedelta
 from email.utils import parsedate_to_datetime
-from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -94,27 +93,33 @@ def _in_zone(local: datetime, zone: ZoneInfo) -> datetime | None:
     early, late = (local.replace(tzinfo=zone, fold=k) for k in (0, 1))
     if early.utcoffset() != late.utcoffset():
         return None
-    return early.astimezone(UTC)
+    return _in_utc(early)
+
+
+def _in_utc(moment: datetime) -> datetime | None:
+    """The moment in UTC, which a moment without an offset is in; None beyond the years 1 to 9999."""
+    try:
+        return moment.astimezone(UTC) if moment.tzinfo else moment.replace(tzinfo=UTC)
+    except OverflowError:
+        return None
 
 
 def _free(text: str) -> datetime | None:
     """Texts with an offset, and free forms in UTC; dates alone are midnight."""
     try:
-        found = datetime.fromisoformat(text.strip())
-        return found.astimezone(UTC) if found.tzinfo else found.replace(tzinfo=UTC)
+        return _in_utc(datetime.fromisoformat(text.strip()))
     except ValueError:
         pass
     compact = " ".join(text.split())
     for pattern in ("%Y-%m-%d %H:%M:%S %z", "%Y-%m-%d %H:%M %z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M%z", "%Y-%m-%d%z", "%a %b %d %H:%M:%S %z %Y"):
         if found := _parse(compact, pattern):
-            return found.astimezone(UTC)
+            return _in_utc(found)
     for pattern in FREE_FORMATS:
         if found := _parse(compact, pattern):
             return found.replace(tzinfo=UTC)
     try:
-        found = parsedate_to_datetime(compact)
-        return found.astimezone(UTC) if found.tzinfo else found.replace(tzinfo=UTC)
-    except (ValueError, TypeError, IndexError):
+        return _in_utc(parsedate_to_datetime(compact))
+    except (ValueError, TypeError, IndexError, OverflowError):
         return None
 
 
@@ -161,7 +166,7 @@ def rejoin_pieces(text: str) -> str:
 
 
 def iso(moment: datetime) -> str:
-    return moment.strftime("%Y-%m-%dT%H:%M:%S.") + f"{moment.microsecond // 1000:03d}Z"
+    return moment.replace(tzinfo=None).isoformat(timespec="milliseconds") + "Z"
 
 
 def clean_date(text: str, zone: str | None = None, pattern: str | None = None, now: datetime | None = None) -> str | None:
@@ -193,11 +198,20 @@ _SPARK_FORMATS = [
 ]
 
 
+#: What a value must look like before Spark's pattern of the same place is tried: most values cost one parse.
+_SHAPES = [
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\z", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\z", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}\z",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}\z", r"^\d{4}-\d{2}-\d{2}\z", r"^\d{4}/\d{2}/\d{2}\z", r"^\d{4} \d{2} \d{2}\z",
+    r"^\p{L}+ \d{1,2}, \d+\z", r"^\p{L}+ \d{1,2}, \d+\z", r"^\p{L}+ \d{1,2}, \d+ \d{2}:\d{2}\z", r"^\p{L}+ \d{1,2}, \d+ \d{1,2}:\d{2} \p{L}+\z",
+]
+
+
 def iso_date(raw: Column, zone: str | None = None) -> Column:
     """clean_date for the explicit formats, as one column expression; anything else is null."""
     seconds = F.when(raw.rlike(r"^[0-9]{13}\z"), F.timestamp_millis(raw.try_cast("bigint")))
     seconds = seconds.when(raw.rlike(r"^[0-9]{10}\z"), F.timestamp_seconds(raw.try_cast("bigint")))
-    parsed = reduce(lambda found, form: F.coalesce(found, F.try_to_timestamp(raw, F.lit(form))), _SPARK_FORMATS, F.lit(None).cast("timestamp"))
+    tries = [F.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(form))) for shape, form in zip(_SHAPES, _SPARK_FORMATS)]
+    parsed = F.coalesce(*tries)
     if zone:
         parsed = F.to_utc_timestamp(parsed, zone)
     return F.date_format(F.coalesce(seconds, parsed), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from typing import Any
@@ -167,7 +167,7 @@ def extract_one(url: str | None, html: str | None, opts: Options, book: R.RuleBo
             return dict.fromkeys(FIELDS) | {"error": True, "message": page}
         out = article_of(page, book, opts, opts.wanted())
         return out | {"content": convert(out["content"], opts.content_type), "error": False}
-    except RecursionError as e:
+    except Exception as e:  # noqa: BLE001 - one page never stops a job
         return dict.fromkeys(FIELDS) | {"error": True, "message": FETCH_FAILED.format(type(e).__name__)}
 
 
@@ -179,18 +179,25 @@ def output_schema(df: DataFrame, keys: Iterable[str], fields: Iterable[str]) ->
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{f} {FIELDS[f]}" for f in fields)])
 
 
-def extract_articles(pages: DataFrame, opts: Options | None = None, key: str | None = "page_id", parts: int | None = None) -> DataFrame:
+def article_columns(rows: list[dict[str, Any]], schema: pa.Schema) -> list[pa.Array]:
+    """Article records as columns of the schema; maps become lists of their items."""
+    plain = lambda v: list(v.items()) if isinstance(v, dict) else v
+    return [pa.array([plain(row[f.name]) for row in rows], f.type) for f in schema]
+
+
+def extract_articles(pages: DataFrame, opts: Options | None = None, key: str | Sequence[str] | None = "page_id", parts: int | None = None) -> DataFrame:
     """Article records of ``pages(page_id, url, html)``, a row for a row, without a shuffle of its own.
 
     ``parts`` deals the pages to that many partitions first, which a few large
     input files need. An optional column ``previous_urls`` (array of strings) has
-    addresses that are no next pages. Only the columns used are read; the rules are
+    addresses that are no next pages. ``key`` names the columns that stay beside the fields. Only the columns used are read; the rules are
     closed over (about 100 KB), as they do not grow with the data.
     """
     opts = opts or Options()
-    keys = [key] if key else []
+    keys = [key] if isinstance(key, str) else list(key or ())
     visited = "previous_urls" in pages.columns
-    rows = pages.select(*keys, F.col("url").alias("__url"), F.col("html").alias("__html"), *(["previous_urls"] if visited else []))
+    seen_before = [F.col("previous_urls").alias("__seen")] if visited else []
+    rows = pages.select(*keys, F.col("url").alias("__url"), F.col("html").alias("__html"), *seen_before)
     if parts:
         rows = rows.repartition(parts)
     if opts.now is None:  # one moment for the whole job, whichever task or attempt reads it
@@ -202,12 +209,9 @@ def extract_articles(pages: DataFrame, opts: Options | None = None, key: str | N
         for batch in batches:
             names = batch.schema.names
             urls, bodies = batch.column(names.index("__url")), batch.column(names.index("__html"))
-            seen = batch.column(names.index("previous_urls")).to_pylist() if visited else [None] * batch.num_rows
+            seen = batch.column(names.index("__seen")).to_pylist() if visited else [None] * batch.num_rows
             got = [extract_one(u.as_py(), h.as_py(), opts, book, v) for u, h, v in zip(urls, bodies, seen)]
-            columns = [batch.column(names.index(k)) for k in keys]
-            for f in schema:
-                column = [row[f.name] for row in got]
-                columns.append(pa.array([None if c is None else list(c.items()) for c in column] if f.name == "extend" else column, f.type))
+            columns = [batch.column(names.index(k)) for k in keys] + article_columns(got, schema)
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *schema.names])
 
     return rows.mapInArrow(work, output_schema(rows, keys, opts.fields))
@@ -217,25 +221,17 @@ def register_functions(spark: SparkSession, opts: Options | None = None) -> None
     """``extract_article(url, html)`` for SQL: a struct of all fields."""
     opts = opts or Options(now=datetime.now(UTC))
     kind = "struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">"
+    schema = pa.schema([(f, _ARROW[k]) for f, k in FIELDS.items()])
 
-    @F.udf(kind)
-    def extract_article(url, html):
-        book = _book(json.dumps(opts.rules, sort_keys=True))
-        return extract_one(url, html, opts, book)
+    @F.arrow_udf(kind)
+    def extract_article(urls: pa.Array, bodies: pa.Array) -> pa.Array:
+        book = R.RuleBook(opts.rules)
+        got = [extract_one(u.as_py(), h.as_py(), opts, book) for u, h in zip(urls, bodies)]
+        return pa.StructArray.from_arrays(article_columns(got, schema), fields=list(schema))
 
     spark.udf.register("extract_article", extract_article)
 
 
-_books: dict[str, R.RuleBook] = {}
-
-
-def _book(rules: str) -> R.RuleBook:
-    if rules not in _books:
-        _books.clear()
-        _books[rules] = R.RuleBook(tuple(json.loads(rules)))
-    return _books[rules]
-
-
 def node_rows(root: Node) -> Iterator[tuple]:
     """(node_id, parent_id, last_id, depth, kind, tag, attrs, text) in document order; ids of what is below run to last_id."""
     number, stack = 0, [(root, None, -1)]

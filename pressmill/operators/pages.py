@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .render import convert
 
 MAX_PAGES = 26
 ON_ERROR = ("fail", "stop")
+#: From a table of different addresses to (address, html) of those that are there.
+Lookup = Callable[[DataFrame], DataFrame]
 
 
 def page_break(number: Column) -> Column:
@@ -51,6 +55,8 @@ def _cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not (sc.master or "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             folder = "file://" + tempfile.mkdtemp(prefix="pressmill-")
@@ -58,11 +64,25 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def collect_pages(articles: DataFrame, pages: DataFrame, opts: Options | None = None, on_error: str = "fail", most: int = MAX_PAGES) -> DataFrame:
+def table_lookup(pages: DataFrame) -> Lookup:
+    """Look addresses up in ``pages(url, html)``, without fragment and trailing slash; of several pages that of the smallest url.
+
+    Only the pages asked for are grouped: the html of all others meets no shuffle where the addresses fit a broadcast.
+    """
+    addressed = pages.select(C.remove_anchor(F.col("url")).alias("address"), "url", "html")
+
+    def find(wanted: DataFrame) -> DataFrame:
+        hits = addressed.join(wanted, "address", "left_semi")
+        return hits.groupBy("address").agg(F.min_by("html", "url").alias("html"))
+
+    return find
+
+
+def collect_pages(articles: DataFrame, pages: DataFrame | Lookup, opts: Options | None = None, on_error: str = "fail", most: int = MAX_PAGES) -> DataFrame:
     """Articles with the contents of their following pages, up to ``most`` pages in all.
 
-    ``pages(url, html)`` is where addresses are looked up, without fragment and trailing
-    slash; nothing is fetched. Every page of a chain is read knowing the addresses
+    ``pages`` is a table to look addresses up in (see table_lookup), or a function from different addresses to
+    (address, html), such as one that fetches them. Every page of a chain is read knowing the addresses
     before it, so a chain never turns back. A missing page fails the article (``on_error="fail"``: error
     and message) or ends its chain (``"stop"``). The word count is that of the whole.
     """
@@ -72,21 +92,22 @@ def collect_pages(articles: DataFrame, pages: DataFrame, opts: Options | None =
     if opts.now is None:
         opts = replace(opts, now=datetime.now(UTC))
     inner = replace(opts, content_type="html", fields=("content", "next_page_url", "error"))
-    book = pages.groupBy(C.remove_anchor(F.col("url")).alias("address")).agg(F.min("url").alias("url"), F.min_by("html", "url").alias("html"))
+    find = table_lookup(pages) if isinstance(pages, DataFrame) else pages
     front = articles.filter("next_page_url is not null and not error").select(
         "page_id", F.col("next_page_url").alias("address"), F.array(C.remove_anchor(F.col("url"))).alias("previous_urls")
     )
     parts, failed = None, None
     for number in range(2, most + 1):
-        found = front.join(book, "address", "left")
+        found = front.join(find(front.select("address").distinct()), "address", "left")
         missing = found.filter("html is null").select("page_id")
         failed = missing if failed is None else failed.unionByName(missing)
         ready = found.filter("html is not null").select("page_id", F.col("address").alias("url"), "html", "previous_urls")
-        seen = ready.select("page_id", F.concat("previous_urls", F.array("url")).alias("previous_urls"))
-        got = _cut(extract_articles(ready, inner).join(seen, "page_id"))
+        got = _cut(extract_articles(ready, inner, key=("page_id", "previous_urls", "url")))
         piece = got.select("page_id", F.lit(number).alias("number"), "content")
         parts = piece if parts is None else parts.unionByName(piece)
-        front = got.filter("next_page_url is not null").select("page_id", F.col("next_page_url").alias("address"), "previous_urls")
+        front = got.filter("next_page_url is not null").select(
+            "page_id", F.col("next_page_url").alias("address"), F.concat("previous_urls", F.array("url")).alias("previous_urls")
+        )
         if front.isEmpty():
             break
     if parts is None:
@@ -103,13 +124,13 @@ def _merge(articles: DataFrame, texts: DataFrame, failed: DataFrame, opts: Optio
     names = articles.columns
     merged = articles.join(texts, "page_id", "left").join(failed.withColumn("__failed", F.lit(True)), "page_id", "left")
 
-    @F.udf("int")
-    def count(content):
-        return M.word_count(content)
+    @F.arrow_udf("int")
+    def count(contents: pa.Array) -> pa.Array:
+        return pa.array([M.word_count(c.as_py()) for c in contents], pa.int32())
 
-    @F.udf("string")
-    def render(content):
-        return convert(content, opts.content_type)
+    @F.arrow_udf("string")
+    def render(contents: pa.Array) -> pa.Array:
+        return pa.array([convert(c.as_py(), opts.content_type) for c in contents], pa.string())
 
     whole = F.when(F.col("__last").isNotNull(), F.concat(F.coalesce("content", F.lit("")), F.col("__more"))).otherwise(F.col("content"))
     merged = merged.withColumn("content", whole)
@@ -130,8 +151,8 @@ def _merge(articles: DataFrame, texts: DataFrame, failed: DataFrame, opts: Optio
     return merged.select(*names)
 
 
-def extract_whole_articles(pages: DataFrame, opts: Options | None = None, on_error: str = "fail", most: int = MAX_PAGES) -> DataFrame:
-    """extract_articles and then collect_pages over the same table of pages."""
+def extract_whole_articles(pages: DataFrame, opts: Options | None = None, on_error: str = "fail", most: int = MAX_PAGES, find: Lookup | None = None) -> DataFrame:
+    """extract_articles and then collect_pages over the same table of pages, or over what ``find`` gives."""
     opts = opts or Options()
     first = replace(opts, content_type="html", now=opts.now or datetime.now(UTC))
-    return collect_pages(_cut(extract_articles(pages, first)), pages, opts, on_error, most)
+    return collect_pages(_cut(extract_articles(pages, first)), find or pages, opts, on_error, most)

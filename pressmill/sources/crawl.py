@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..functions import scalar as S
 from ..operators import css
 from ..operators.html_tree import parse_document
+from ..operators.pages import Lookup
 
 # Fixed values of requests.
 USER_AGENT = "Mozilla/5.0 (Windows NT 6.1) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/41.0.2228.0 Safari/537.36"
@@ -61,11 +62,93 @@ def pages_from_responses(responses: DataFrame) -> DataFrame:
     return checked.select("page_id", "url", decode(body, F.col("content_type")).alias("html"), "message")
 
 
+def unpack(body: bytes, encoding: str) -> bytes:
+    """A body without its transfer packing; ValueError for one that cannot be read here."""
+    import gzip
+    import zlib
+
+    match encoding.strip().lower():
+        case "" | "identity":
+            return body
+        case "gzip" | "x-gzip":
+            return gzip.decompress(body)
+        case "deflate":
+            try:
+                return zlib.decompress(body)
+            except zlib.error:  # some servers leave the wrapper out
+                return zlib.decompress(body, -zlib.MAX_WBITS)
+        case "br":
+            try:
+                import brotli
+            except ImportError as e:
+                raise ValueError("no decoder for br") from e
+            return brotli.decompress(body)
+    raise ValueError(encoding)
+
+
+class Fetcher:
+    """One session with cookies; a failed request is a response with status 0 and no body."""
+
+    def __init__(self, headers: dict[str, str] | None = None):
+        import http.cookiejar
+        import importlib.util
+        import urllib.request
+
+        packings = ["gzip", "deflate", *(["br"] if importlib.util.find_spec("brotli") else [])]
+        self.headers = {"User-Agent": USER_AGENT, "Accept-Encoding": ", ".join(packings), **(headers or {})}
+        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+
+    def get(self, url: str) -> tuple[int, str, int | None, bytes | None]:
+        """(status, content type, stated length, body)."""
+        import urllib.error
+        import urllib.request
+        import zlib
+
+        try:
+            with self.opener.open(urllib.request.Request(url, headers=self.headers), timeout=TIMEOUT_SECONDS) as got:
+                head, body = got.headers, unpack(got.read(), got.headers.get("Content-Encoding", ""))
+                length = head.get("Content-Length")
+                return got.status, head.get("Content-Type", ""), int(length) if length else None, body
+        except urllib.error.HTTPError as e:
+            return e.code, e.headers.get("Content-Type", ""), None, None
+        except (OSError, EOFError, ValueError, zlib.error):
+            return 0, "", None, None
+
+
+RESPONSES = "page_id long, url string, status int, content_type string, content_length long, body binary"
+
+
+def fetch_pages(addresses: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """Responses (see pages_from_responses) of ``addresses(page_id, url)``: each partition fetches its own, in one session."""
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in RESPONSES.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetcher = Fetcher(headers)
+        for batch in batches:
+            for page, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row = (page, url, *fetcher.get(url or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+
+    return addresses.select(F.col("page_id").cast("long"), "url").mapInArrow(work, RESPONSES)
+
+
+def fetch_lookup(headers: dict[str, str] | None = None) -> Lookup:
+    """Fetches the addresses of following pages, for collect_pages; a page that cannot be read is not there."""
+
+    def find(wanted: DataFrame) -> DataFrame:
+        asked = wanted.select(F.xxhash64("address").alias("page_id"), F.col("address").alias("url"))
+        pages = pages_from_responses(fetch_pages(asked, headers))
+        return pages.filter("html is not null").select(F.col("url").alias("address"), "html")
+
+    return find
+
+
 class FetchSource(DataSource):
     """``spark.read.format("fetched_pages").option("urls", "\\n".join(urls))``: pages over HTTP, for small lists.
 
     Each partition gets its addresses and one session with cookies. A failed
-    request is a row with status 0 and no body. Extra headers: option ``headers`` as JSON.
+    request is a row with status 0 and no body. Extra headers: option ``headers`` as JSON. For addresses in a table see fetch_pages.
     """
 
     @classmethod
@@ -73,7 +156,7 @@ class FetchSource(DataSource):
         return "fetched_pages"
 
     def schema(self) -> str:
-        return "page_id long, url string, status int, content_type string, content_length long, body binary"
+        return RESPONSES
 
     def reader(self, schema) -> DataSourceReader:
         return FetchReader(self.options)
@@ -91,27 +174,9 @@ class FetchReader(DataSourceReader):
         return [InputPartition(k) for k in range(self.parts)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import gzip
-        import http.cookiejar
-        import urllib.error
-        import urllib.request
-        import zlib
-
-        opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+        fetcher = Fetcher(self.headers)
         for k in range(partition.value, len(self.urls), self.parts):
-            url = self.urls[k]
-            request = urllib.request.Request(url, headers={"User-Agent": USER_AGENT, "Accept-Encoding": "gzip, deflate", **self.headers})
-            try:
-                with opener.open(request, timeout=TIMEOUT_SECONDS) as got:
-                    body, head = got.read(), got.headers
-                    packed = head.get("Content-Encoding", "")
-                    body = gzip.decompress(body) if packed == "gzip" else zlib.decompress(body) if packed == "deflate" else body
-                    length = head.get("Content-Length")
-                    yield k, url, got.status, head.get("Content-Type", ""), int(length) if length else None, body
-            except urllib.error.HTTPError as e:
-                yield k, url, e.code, e.headers.get("Content-Type", ""), None, None
-            except (OSError, ValueError, zlib.error):
-                yield k, url, 0, "", None, None
+            yield k, self.urls[k], *fetcher.get(self.urls[k])
 
 
 def write_articles(articles: DataFrame, path: str, mode: str = "errorifexists") -> None:
