@@ -133,25 +133,27 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     )
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> list:
-    """Keys of ``counts(key, n)`` that hold more than an even task's share of all rows: no more than there are tasks."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
+def hot_keys(counts: DataFrame, key: str, n: str, total: int | None = None) -> list[int]:
+    """Hashes of the keys of ``counts(key, n)`` that hold more than an even task's share of all rows: no more than there are tasks."""
+    total = counts.agg(F.sum(n)).first()[0] or 0 if total is None else total
     share = total / parallelism(counts.sparkSession)
-    return [r[key] for r in counts.filter(F.col(n) > share).select(key).collect()]
+    return [r[0] for r in counts.filter(F.col(n) > share).select(F.xxhash64(key)).collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], salt: Column | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key; rows of a hot key are dealt to as many tasks as there are.
 
-    ``left`` must come from a checkpoint or a file, so that a row keeps its number when a task is run again.
+    ``salt`` is what rows of one key are dealt by, a function of the row alone; without it they are numbered, for which ``left``
+    must come from a checkpoint or a file, so that a row keeps its number when a task is run again.
     """
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, key)
     salts, spot = parallelism(left.sparkSession), fresh(left, "__spot")
-    is_hot = F.col(key).isin(hot)
-    salted = left.withColumn(spot, F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"))
+    is_hot = F.xxhash64(key).isin(hot)
+    salt = F.monotonically_increasing_id() if salt is None else salt
+    salted = left.withColumn(spot, F.when(is_hot, F.pmod(salt, F.lit(salts))).otherwise(0).cast("int"))
     copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    return salted.join(right.withColumn(spot, copies), [key, spot], how).drop(spot)
+    return salted.join(right.withColumn(spot, copies), [key, spot]).drop(spot)
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
