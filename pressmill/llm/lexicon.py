@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import heapq
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,12 +22,14 @@ from .tokens import byte_alphabet
 
 #: Words compiled into the transducer: the most frequent ones of the whole corpus.
 LEXICON_WORDS = 50_000
-#: Pieces that a worker remembers, and characters of them and of what they give; past either, it forgets all.
-MEMORY_LIMIT, MEMORY_CHARS = 450_000, 48_000_000
+#: Pieces, and words, that a worker remembers, and characters of them and of what they give; past either, it forgets all.
+MEMORY_LIMIT, MEMORY_CHARS = 400_000, 40_000_000
 #: Documents looked up together, and characters of theirs.
 _GROUP, _GROUP_CHARS = 256, 4_000_000
-#: Words of more bytes are merged with a heap of pairs, shorter ones by looking through all pairs.
-_HEAP = 64
+#: Words of more bytes are merged one by one with a heap of pairs, shorter ones in step.
+_HEAP = 48
+#: Letters beyond ASCII that are looked at in advance: Latin, Greek and Cyrillic ones, which join with marks only.
+_LETTERS = [*range(0xC0, 0x250), *range(0x386, 0x530)]
 #: White space of Unicode, as the vocabulary file's patterns see it.
 _SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _OTHER_SPLITS = "\x1c\x1d\x1e\x1f"
@@ -126,6 +130,76 @@ class Transducer:
         return [None if k < 0 else self.ids[self.offsets[k] : self.offsets[k + 1]].tolist() for k in self.ordinals(words).tolist()]
 
 
+class Merges:
+    """The ranks and results of pairs of symbols in an open hash table, so that many words are merged in step."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        first, second, made = (np.array([vocab[m] for m in column], np.int64) for column in (*zip(*merges), [a + b for a, b in merges]))
+        self.none, self.made = np.int32(len(merges)), np.append(made, -1).astype(np.int32)
+        self.bits = max(4, int(4 * len(merges)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, self.none, np.int32)
+        keys = first << 32 | second
+        slots, self.reach = self._slots(keys), 1
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), slots.tolist())):
+            step = 0
+            while self.keys[(slot + step) & (len(self.keys) - 1)] not in (-1, key):
+                step += 1
+            at = (slot + step) & (len(self.keys) - 1)
+            self.keys[at], self.ranks[at] = key, rank  # of a pair given twice the last rank counts
+            self.reach = max(self.reach, step + 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; ``none`` where it is not merged, or one of the two is no symbol (-1)."""
+        keys = a.astype(np.int64) << 32 | b  # -1 on either side gives a negative key, which no pair has
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        found = np.where(held == keys, self.ranks[slots], self.none)
+        open_ = np.nonzero((held != keys) & (held != -1))
+        for _ in range(1, self.reach):
+            if not len(open_[0]):
+                break
+            slots[open_] = (slots[open_] + 1) & (len(self.keys) - 1)
+            held, own = self.keys[slots[open_]], keys[open_]
+            found[open_] = np.where(held == own, self.ranks[slots[open_]], self.none)
+            left = (held != own) & (held != -1)
+            open_ = tuple(x[left] for x in open_)
+        return found
+
+    def merge(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols (-1 past the end), merged as far as they go: the least rank first, leftmost first."""
+        out, live = symbols.copy(), np.arange(len(symbols))
+        held, width = symbols.copy(), symbols.shape[1]
+        if width < 2:
+            return out
+        ranks = self.rank(held[:, :-1], held[:, 1:])
+        place = np.arange(width)
+        while True:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(live)), at]
+            goes_on = least < self.none
+            if not goes_on.all():
+                out[live[~goes_on]] = held[~goes_on]
+                live, held, ranks, at, least = live[goes_on], held[goes_on], ranks[goes_on], at[goes_on], least[goes_on]
+            if not len(live):
+                return out
+            row = np.arange(len(live))
+            # the right one of the pair goes, and all after it move up
+            source = np.minimum(place + (place > at[:, None]), width - 1)
+            held = np.take_along_axis(held, source, 1)
+            held[:, -1] = -1
+            held[row, at] = self.made[least]
+            ranks = np.take_along_axis(ranks, np.minimum(source[:, :-1], width - 2), 1)
+            ranks[:, -1] = self.none
+            inner = at < width - 1
+            ranks[row[inner], at[inner]] = self.rank(held[row[inner], at[inner]], held[row[inner], at[inner] + 1])
+            inner = at > 0
+            ranks[row[inner], at[inner] - 1] = self.rank(held[row[inner], at[inner] - 1], held[row[inner], at[inner]])
+
+
 class WordBpe:
     """What the vocabulary file says: normalised words, merges by rank, ids and their tokens.
 
@@ -145,12 +219,20 @@ class WordBpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.end = model["end_of_word_suffix"] or ""
+        self.merges = Merges(self.vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.symbol = {b: c for c, b in byte_alphabet().items()}
+        self.inside, self.last = (np.array([self.vocab[self.symbol[b] + end] for b in range(256)], np.int32) for end in ("", self.end))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        # letters that the library makes one letter, the same beside any other of them
+        lower = {chr(c): self.normal(chr(c)) for c in _LETTERS}
+        lower = {c: low for c, low in lower.items() if len(low) == 1 and ord(low) in _LETTERS and len(self.cut("x" + low + "x")) == 1}
+        ascii_letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+        self.letters = re.compile("[" + "".join(map(re.escape, [*lower, *ascii_letters])) + "]+").fullmatch
+        self.lower = str.maketrans(lower | {c: c.lower() for c in ascii_letters})
 
     def parts(self, piece: str) -> list[bytes | int]:
         """Words (as UTF-8) of a piece without white space, and the ids of special tokens in it."""
@@ -160,6 +242,10 @@ class WordBpe:
                 return [low.encode()]
             if low[:-1].isalpha() and not low[-1].isalnum():
                 return [low[:-1].encode(), low[-1].encode()]
+        elif self.letters(piece):
+            return [piece.translate(self.lower).encode()]
+        elif piece[-1].isascii() and not piece[-1].isalnum() and self.letters(piece, 0, len(piece) - 1):
+            return [piece[:-1].translate(self.lower).encode(), piece[-1].encode()]
         found: list[bytes | int] = []
         for part in self.specials.split(piece) if "<|" in piece else (piece,):
             if part in self.special:
@@ -172,29 +258,32 @@ class WordBpe:
                 found += [part[a:b].encode() for _, (a, b) in self.cut(part)]
         return found
 
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of a word: the pair of least rank is joined, leftmost first, until none is left.
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word: the pair of least rank is joined, leftmost first, until none is left.
 
-        A join changes the ranks of its two neighbouring pairs only.
+        Words of similar lengths are merged in step.
         """
-        if len(word) > _HEAP:
-            return self.merge_long(word)
-        symbols = [self.symbol[b] for b in word]
-        symbols[-1] += self.end
-        rank, none = self.rank, len(self.rank)
-        ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:])]
-        while ranks and (least := min(ranks)) < none:
-            k = ranks.index(least)
-            symbols[k] += symbols.pop(k + 1)
-            del ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank.get((symbols[k], symbols[k + 1]), none)
-            if k:
-                ranks[k - 1] = rank.get((symbols[k - 1], symbols[k]), none)
-        return [self.vocab[s] for s in symbols if s in self.vocab]
+        out: list[list[int]] = [[]] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(size > _HEAP).tolist():
+            out[k] = self.merge_long(words[k])
+        for low, high in ((0, 6), (6, 9), (9, 13), (13, 20), (20, _HEAP)):
+            own = np.flatnonzero((size > low) & (size <= high))
+            if not len(own):
+                continue
+            chosen, n = [words[k] for k in own.tolist()], size[own]
+            data = np.frombuffer(b"".join(chosen), np.uint8)
+            row, begin = np.repeat(np.arange(len(own)), n), np.cumsum(n) - n
+            symbols = np.full((len(own), int(n.max())), -1, np.int32)
+            symbols[row, np.arange(len(data)) - begin[row]] = self.inside[data]
+            symbols[np.arange(len(own)), n - 1] = self.last[data[begin + n - 1]]
+            merged = self.merges.merge(symbols)
+            for k, ids, left in zip(own.tolist(), merged.tolist(), (merged >= 0).sum(1).tolist()):
+                out[k] = ids[:left]
+        return out
 
     def merge_long(self, word: bytes) -> list[int]:
-        """As merge, in n log n: a heap of (rank, place) of neighbouring pairs, the places linked both ways."""
+        """As merge, of one word in n log n: a heap of (rank, place) of neighbouring pairs, the places linked both ways."""
         symbols: list[str | None] = [self.symbol[b] for b in word]
         symbols[-1] += self.end
         n, rank = len(symbols), self.rank
@@ -245,43 +334,65 @@ def pieces_of(text: str | None) -> list[str]:
 
 
 class Encoder:
-    """Ids and tokens of texts: pieces from memory, new ones by the transducer or by merging."""
+    """Ids and tokens of texts: pieces and words from memory, new words by the transducer or by merging."""
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.bpe, self.lexicon = word_bpe(vocabulary), open_lexicon(lexicon)
         self.names = {i: str(i) for i in self.bpe.token}
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-        self.chars = 0
+        #: (decimal ids, tokens) of pieces and of words; a piece of one word has the same pair.
+        self.pieces: dict[str, tuple[str, str]] = {}
+        self.words: dict[bytes | int, tuple[str, str]] = {}
+        self.chars = self.word_chars = 0
 
     def learn(self, texts: list[list[str]]) -> None:
         seen: set[str] = set()
         for pieces in texts:
             seen.update(pieces)
-        new = seen - self.ids.keys()
-        if len(self.ids) + len(new) > MEMORY_LIMIT or self.chars > MEMORY_CHARS:
-            self.ids.clear()
-            self.tokens.clear()
+        new = seen - self.pieces.keys()
+        if len(self.pieces) + len(new) > MEMORY_LIMIT or self.chars > MEMORY_CHARS:
+            self.pieces.clear()
             self.chars = 0
             new = seen
-        parts = {p: self.bpe.parts(p) for p in new}
-        words = list({w for found in parts.values() for w in found if w.__class__ is bytes})
-        merge = self.bpe.merge
-        known = {w: merge(w) if i is None else i for w, i in zip(words, self.lexicon.find(words))}
-        name, token = self.names, self.bpe.token
-        for piece, found in parts.items():
-            if len(found) == 1 and found[0].__class__ is bytes:
-                own = known[found[0]]
+        if len(self.words) > MEMORY_LIMIT or self.word_chars > MEMORY_CHARS:
+            self.words.clear()
+            self.word_chars = 0
+        parts = self.bpe.parts
+        found = [parts(p) for p in new]
+        self.learn_words({w for own in found for w in own} - self.words.keys())
+        words, pieces = self.words, self.pieces
+        for piece, own in zip(new, found):
+            if len(own) == 1:
+                pieces[piece] = words[own[0]]
+                continue
+            if len(own) == 2:
+                (a, b), (c, d) = words[own[0]], words[own[1]]
+                pair = f"{a} {c}", f"{b} {d}"
             else:
-                own = [i for w in found for i in (known[w] if w.__class__ is bytes else (w,))]
-            self.ids[piece] = ids = " ".join([name[i] for i in own])
-            self.tokens[piece] = text = " ".join([token[i] for i in own])
-            self.chars += len(piece) + len(ids) + len(text)
+                pair = " ".join([words[w][0] for w in own]), " ".join([words[w][1] for w in own])
+            pieces[piece] = pair
+            self.chars += len(pair[0]) + len(pair[1])
+        self.chars += sum(map(len, new))
+
+    def learn_words(self, new: set[bytes | int]) -> None:
+        words = [w for w in new if w.__class__ is bytes]
+        known = dict(zip(words, self.lexicon.find(words)))
+        unseen = [w for w, ids in known.items() if ids is None]
+        known.update(zip(unseen, self.bpe.merge(unseen)))
+        known.update((i, [i]) for i in new if i.__class__ is int)
+        name, token = self.names.__getitem__, self.bpe.token.__getitem__
+        for word, own in known.items():
+            self.words[word] = pair = " ".join(map(name, own)), " ".join(map(token, own))
+            self.word_chars += len(pair[0]) + len(pair[1])
 
     def encode(self, pieces: list[str]) -> tuple[str, str]:
         """(decimal ids, decoded text), each joined by one space, of pieces learnt before."""
-        ids, tokens = map(self.ids.__getitem__, pieces), map(self.tokens.__getitem__, pieces)
-        return " ".join(filter(None, ids)), " ".join(filter(None, tokens))
+        pairs = list(map(self.pieces.__getitem__, pieces))
+        if ("", "") in pairs:
+            pairs = [p for p in pairs if p[0]]
+        if not pairs:
+            return "", ""
+        ids, tokens = zip(*pairs)
+        return " ".join(ids), " ".join(tokens)
 
 
 @functools.lru_cache(2)
@@ -337,7 +448,8 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -
     ``most`` words and their ids, a few MB, are all that the driver handles.
     """
     bpe = word_bpe(vocabulary)
-    data = compile_words({w: bpe.merge(w) for w in frequent_words(docs, vocabulary, most)})
+    words = frequent_words(docs, vocabulary, most)
+    data = compile_words(dict(zip(words, bpe.merge(words))))
     uri = f"{shared_dir(docs.sparkSession).rstrip('/')}/lexicon-{uuid.uuid4().hex}.bin"
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
@@ -347,8 +459,20 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -
 
 
 def encoded(texts: Iterable[str | None], vocabulary: str, lexicon: str) -> Iterator[tuple[str, str]]:
-    """(decimal ids, decoded text) of each text."""
-    encoder = _encoder(vocabulary, lexicon)
+    """(decimal ids, decoded text) of each text.
+
+    Meanwhile no cycles are collected: none are made, and the memories would be gone through again and again.
+    """
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        yield from _encoded(texts, _encoder(vocabulary, lexicon))
+    finally:
+        if collects:
+            gc.enable()
+
+
+def _encoded(texts: Iterable[str | None], encoder: Encoder) -> Iterator[tuple[str, str]]:
     group: list[list[str]] = []
     chars = 0
     for text in texts:
