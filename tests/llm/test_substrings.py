@@ -56,3 +56,16 @@ def test_rows_that_share_or_lack_an_id(spark):
     df = spark.createDataFrame(rows + rows[:10], "doc_id long, text string").repartition(6)
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeat_digest(df).collect())
     assert got == plain(rows + rows[:10])
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from pressmill.llm import registry
+
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({registry.oracle_sql()['op9_fixed_block_anchors']})").fetchall()
+    assert sorted(map(tuple, registry.op9_fixed_block_anchors(spark, path).select(*names).collect())) == sorted(want)
