@@ -7,7 +7,7 @@ from dataclasses import replace
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -49,18 +49,24 @@ def chain_links(links: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the growing lineage of a loop with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not (sc.master or "").startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            import tempfile
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
 
-            folder = "file://" + tempfile.mkdtemp(prefix="pressmill-")
+        folder = "file://" + tempfile.mkdtemp(prefix="pressmill-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """End the growing lineage of a loop with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

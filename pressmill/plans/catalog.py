@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import UTC, datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,40 +13,10 @@ from ..operators import extract as E
 from ..operators import pages as P
 from ..operators import rules as R
 from ..operators.scoring import NEGATIVE, POSITIVE
+from . import made_pages
+from .registry import NOW, dealt, oracle_sql, queries, query, table
 
-#: Relative dates count from here, so that results stay the same.
-NOW = datetime(2024, 1, 1, tzinfo=UTC)
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def dealt(spark: SparkSession) -> int:
-    """Partitions for kernel work on tables that come in few files."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+__all__ = ["NOW", "flagship", "made_pages", "oracle_sql", "queries"]
 
 
 def articles(spark: SparkSession, sf_dir: str, **opts) -> DataFrame:
@@ -78,16 +45,25 @@ def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir, content_type="text", fields=("content", "excerpt"))
 
 
-@query()
-def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that need no content: the content passes are not run for them."""
-    return articles(spark, sf_dir, fields=("title", "author", "date_published", "next_page_url", "url", "domain", "direction"))
+_WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_RTL = r"\x{0592}-\x{05FD}\x{0602}-\x{06FD}\x{07C2}-\x{07FD}\x{0702}-\x{074D}\x{0782}-\x{07BD}\x{2D32}-\x{2D7D}"
 
+_TEXT = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+_HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1))"
+_JSON = """'"' || replace(replace({}, '\\', '\\\\'), '"', '\\"') || '"'"""
 
-@query()
+
+@query(
+    f"""
+    SELECT page_id, '[' || list_aggregate(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: {_JSON.format(_TEXT.format("x"))}), 'string_agg', ', ') || ']' AS links,
+      {_JSON.format("trim(regexp_replace(" + _TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + ", '[\s]{2,}', ' ', 'g'))")} AS headline FROM pages
+    """
+)
 def article_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extra fields of the caller: a list of link texts, and a headline, as JSON."""
     extend = {"links": {"selectors": ["nav a"], "allow_multiple": True}, "headline": {"selectors": ["article h1"]}}
-    return articles(spark, sf_dir, extend=extend, fields=("extend",)).select("page_id", F.map_entries("extend").alias("extend"))
+    made = articles(spark, sf_dir, extend=extend, fields=("extend",))
+    return made.select("page_id", F.col("extend")["links"].alias("links"), F.col("extend")["headline"].alias("headline"))
 
 
 @query()
@@ -103,20 +79,43 @@ def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.extract_whole_articles(pages, E.Options(now=NOW), on_error="stop")
 
 
+#: Titles from headings: parts at splitters, with the splitters, decide what goes (a breadcrumb's ends, or a site's name).
+_TITLES = rf"""
+    WITH raw AS (SELECT page_id, url, {_HOST} AS host, {_TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS t FROM pages),
+    cut AS (SELECT *, string_split_regex(t, ': | - | \| ') AS texts, regexp_extract_all(t, ': | - | \| ') AS marks FROM raw),
+    parts AS (SELECT *, list_filter(flatten(list_transform(range(1, len(texts) + 1), lambda k: [texts[k], coalesce(marks[k], '')])), lambda x: x <> '') AS p FROM cut),
+    term AS (SELECT page_id, arg_max(x, n * 1000 - place) AS term, max(n) AS n FROM (
+        SELECT page_id, x, count(*) AS n, min(place) AS place FROM (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS place FROM parts) GROUP BY page_id, x) GROUP BY page_id),
+    trail AS (SELECT page_id, CASE WHEN n >= 2 AND strlen(term) <= 4 THEN string_split(t, term) ELSE p END AS pieces FROM parts JOIN term USING (page_id)),
+    ends AS (SELECT page_id, CASE WHEN strlen(pieces[1]) > strlen(pieces[-1]) THEN pieces[1] ELSE pieces[-1] END AS longest FROM trail),
+    slugs AS (SELECT page_id, regexp_replace(host, '\.com$|\.net$|\.org$|\.co\.uk$', '') AS site, lower(replace(p[1], ' ', '')) AS a, lower(replace(p[-1], ' ', '')) AS b FROM parts),
+    near AS (SELECT page_id, strlen(a) > 5 AND 1 - levenshtein(regexp_replace(a, '[^ -~]', '?', 'g'), site) / greatest(length(a), length(site)) > 0.4 AS opens,
+        strlen(b) >= 5 AND 1 - levenshtein(regexp_replace(b, '[^ -~]', '?', 'g'), site) / greatest(length(b), length(site)) > 0.4 AS closes FROM slugs),
+    chosen AS (SELECT page_id, url, host, CASE WHEN len(p) <= 1 THEN t WHEN len(p) >= 6 THEN CASE WHEN strlen(longest) > 10 THEN longest ELSE t END
+        WHEN opens THEN list_aggregate(p[3:], 'string_agg', '') WHEN closes THEN list_aggregate(p[1:len(p) - 2], 'string_agg', '') ELSE t END AS t
+      FROM parts JOIN ends USING (page_id) JOIN near USING (page_id)),
+    titles AS (SELECT page_id, url, host, trim(regexp_replace(t, '[\s]{{2,}}', ' ', 'g')) AS title FROM chosen)
+"""
+
+
+@query(_TITLES + "SELECT page_id, title FROM titles")
+def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by the kernel, split ones resolved."""
+    return articles(spark, sf_dir, fields=("title",))
+
+
 @query(
-    r"""
-    SELECT page_id,
-      CASE WHEN t LIKE '%: %' OR t LIKE '% - %' OR t LIKE '% | %' THEN NULL ELSE t END AS title
-    FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(
-        regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'),
-        '[\s]{2,}', ' ', 'g')) AS t FROM pages)
+    _TITLES
+    + f"""
+    SELECT page_id, title, NULL::VARCHAR AS author, NULL::VARCHAR AS date_published, NULL::VARCHAR AS next_page_url, url, host AS domain,
+      CASE WHEN title = '' THEN NULL WHEN l AND r THEN 'bidi' WHEN l THEN 'ltr' WHEN r THEN 'rtl' END AS direction
+    FROM (SELECT *, regexp_matches(title, '[{_RTL}]') AS r,
+      regexp_matches(title, '[^{_WS[1:-1]}\\x00''"\\-+?!0-9{_RTL}]') OR (NOT regexp_matches(title, '[{_RTL}]') AND regexp_matches(title, '[0-9]')) AS l FROM titles)
     """
 )
-def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles by the kernel; those with a splitter in the heading are left null, as SQL does not resolve them."""
-    heads = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
-    got = articles(spark, sf_dir, fields=("title",)).join(heads, "page_id")
-    return got.select("page_id", F.when(~F.col("h1").rlike(": | - | \\| "), F.col("title")).alias("title"))
+def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that need no content: the content passes are not run for them. These pages name no author and no date, and link to no next page."""
+    return articles(spark, sf_dir, fields=("title", "author", "date_published", "next_page_url", "url", "domain", "direction"))
 
 
 @query(
@@ -131,26 +130,61 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.filter(F.col("tag").isin("li", "h1", "article")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_INNER = """SELECT page_id, '{0}' AS tag, regexp_extract(html, '<{0}>(.*?)</{0}>', 1, 's') AS inner_html FROM pages"""
+_SIZE = "coalesce(list_sum(list_transform({}, lambda x: strlen(trim(" + _TEXT.format("x") + ")))), 0)"
+
+
+@query(
+    f"""
+    SELECT page_id, tag, round(CASE WHEN whole > 0 THEN linked / whole END, 9) AS density FROM (
+      SELECT page_id, tag, {_SIZE.format("string_split_regex(inner_html, '<[^>]*>')")}::DOUBLE AS whole,
+        {_SIZE.format("regexp_extract_all(inner_html, '<a [^>]*>([^<]*)</a>', 1)")}::DOUBLE AS linked
+      FROM ({_INNER.format("article")} UNION ALL {_INNER.format("nav")}))
+    """
+)
 def link_density_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link density of every article and nav, relationally: texts below it, by ranges of node ids."""
+    """Link density of every article and nav, relationally: what lies below a node is a range of node ids.
+
+    Sizes are summed along a page's nodes once, and a range is the difference of two sums, so no node meets another but its last one.
+    """
     nodes = E.explode_nodes(table(spark, sf_dir, "pages").repartition(dealt(spark)))
-    texts = nodes.filter("kind = 'text'").select("page_id", F.col("node_id").alias("t"), "text")
-    boxes = nodes.filter(F.col("tag").isin("article", "nav")).select("page_id", F.col("node_id").alias("box"), "last_id", "tag")
-    links = nodes.filter("tag = 'a'").select("page_id", F.col("node_id").alias("a"), F.col("last_id").alias("a_last"))
-    inside = boxes.join(texts, "page_id").filter("t > box AND t <= last_id")
-    linked = inside.join(links, "page_id", "left").withColumn("in_link", (F.col("t") > F.col("a")) & (F.col("t") <= F.col("a_last")))
-    size = F.octet_length(F.trim("text"))
-    per_text = linked.groupBy("page_id", "box", "tag", "t").agg(F.max(size).alias("size"), F.coalesce(F.max("in_link"), F.lit(False)).alias("in_link"))
-    return per_text.groupBy("page_id", "box", "tag").agg(F.try_divide(F.sum(F.when(F.col("in_link"), F.col("size")).otherwise(0)), F.sum("size")).alias("density"))
+    along = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.when(F.col("kind") == "text", F.octet_length(F.trim("text"))).otherwise(0)
+    reach = F.max(F.when(F.col("tag") == "a", F.col("last_id"))).over(along)
+    sized = nodes.select("page_id", "node_id", "last_id", "tag", size.alias("size"), (F.coalesce(reach, F.lit(-1)) >= F.col("node_id")).alias("in_link"))
+    summed = sized.withColumn("whole", F.sum("size").over(along)).withColumn("linked", F.sum(F.when(F.col("in_link"), F.col("size")).otherwise(0)).over(along))
+    ends = summed.select("page_id", F.col("node_id").alias("last_id"), F.col("whole").alias("whole_to"), F.col("linked").alias("linked_to"))
+    boxes = summed.filter(F.col("tag").isin("article", "nav")).join(ends, ["page_id", "last_id"])
+    density = F.try_divide(F.col("linked_to") - F.col("linked"), F.col("whole_to") - F.col("whole"))
+    return boxes.select("page_id", "tag", F.round(density, 9).alias("density"))
 
 
-@query()
+_KEYS = [(key, rule["domain"], k) for k, rule in enumerate(R.built_in_rules()) for key in [rule["domain"], *rule.get("aliases", ())]]
+_LEADS = ["", "www.", "m.blog."]
+
+
+@query(
+    f"""
+    WITH keys(key, rule, place) AS (VALUES {", ".join(f"('{key}', '{rule}', {k})" for key, rule, k in _KEYS)}),
+    book AS (SELECT key, arg_min(rule, place) AS rule FROM keys GROUP BY key), names AS (SELECT row_number() OVER (ORDER BY key) - 1 AS n, key AS name FROM book),
+    hosts AS (SELECT page_id, CASE WHEN page_id % 4 < 3 THEN CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'www.' ELSE 'm.blog.' END || name ELSE {_HOST} END AS host
+      FROM pages JOIN names ON names.n = page_id % (SELECT count(*) FROM book))
+    SELECT page_id, host, coalesce(e.rule, b.rule) AS rule FROM hosts LEFT JOIN book e ON e.key = host
+      LEFT JOIN book b ON b.key = list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.')
+    """
+)
 def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule of every page's host, exact or by base domain, as two joins with the rules' keys (below 200)."""
-    keys = [(key, rule["domain"], k) for k, rule in enumerate(R.built_in_rules()) for key in [rule["domain"], *rule.get("aliases", ())]]
-    book = F.broadcast(spark.createDataFrame(keys, "key string, rule string, place int").groupBy("key").agg(F.min_by("rule", "place").alias("rule")))
-    pages = table(spark, sf_dir, "pages").select("page_id", C.url_host(F.col("url")).alias("host"))
+    """The rule of every page's host, exact or by base domain, as two joins with the rules' keys (below 200).
+
+    Three pages of four are given the host of a rule, with labels before it or without.
+    """
+    keys = spark.createDataFrame(_KEYS, "key string, rule string, place int").groupBy("key").agg(F.min_by("rule", "place").alias("rule"))
+    book = F.broadcast(keys)
+    names = F.array(*[F.lit(k) for k in sorted({key for key, _, _ in _KEYS})])
+    lead = F.element_at(F.array(*[F.lit(x) for x in _LEADS]), (F.col("page_id") % 4 + 1).cast("int"))
+    made = F.concat(lead, F.element_at(names, (F.col("page_id") % len({key for key, _, _ in _KEYS}) + 1).cast("int")))
+    host = F.when(F.col("page_id") % 4 < 3, made).otherwise(C.url_host(F.col("url")))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
     exact = pages.join(book.select(F.col("key").alias("host"), F.col("rule").alias("exact")), "host", "left")
     based = exact.withColumn("base", C.base_domain(F.col("host"))).join(book.select(F.col("key").alias("base"), F.col("rule").alias("by_base")), "base", "left")
     return based.select("page_id", "host", F.coalesce("exact", "by_base").alias("rule"))
@@ -262,7 +296,8 @@ def link_last_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).withColumn("r", F.row_number().over(last)).filter("r = 1").drop("r")
 
 
-_CHAIN = "SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id + 1 < 100 THEN 'p' || (page_id + 1) END AS next_url FROM pages WHERE page_id < 100"
+_CHAIN = """SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id + 1 IN (SELECT page_id FROM pages)
+  THEN 'p' || (page_id + 1) END AS next_url FROM pages"""
 
 
 @query(
@@ -274,28 +309,7 @@ _CHAIN = "SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id +
     """
 )
 def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains over a table of links made up from page ids: sevens of consecutive pages, below 100 as in its SQL."""
-    at = F.col("page_id")
-    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
-    following = F.when((at % 7 != 6) & (at + 1 < 100), name(at + 1))
-    made = table(spark, sf_dir, "pages").filter("page_id < 100").select(name(at).alias("url"), following.alias("next_url"))
-    return P.chain_links(made)
-
-
-_WHOLE_CHAIN = """SELECT 'p' || page_id AS url, CASE WHEN page_id % 7 <> 6 AND page_id + 1 IN (SELECT page_id FROM pages)
-  THEN 'p' || (page_id + 1) END AS next_url FROM pages"""
-
-
-@query(
-    f"""
-    WITH RECURSIVE links AS ({_WHOLE_CHAIN}), chain AS (
-      SELECT url AS start, 1 AS number, url, next_url FROM links
-      UNION ALL SELECT c.start, c.number + 1, l.url, l.next_url FROM chain c JOIN links l ON c.next_url = l.url WHERE c.number < 26)
-    SELECT start, number, url FROM chain
-    """
-)
-def page_chain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As page_chain, but over every page; a link to a page that is not there ends its chain."""
+    """Chains over a table of links made up from the ids of all pages: sevens of consecutive ones; a link to a page that is not there ends its chain."""
     at = F.col("page_id")
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     made = table(spark, sf_dir, "pages").select(name(at).alias("url"), F.when(at % 7 != 6, name(at + 1)).alias("next_url"))
@@ -304,7 +318,6 @@ def page_chain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- columns over texts ---------------------------------------------------------------------
 
-_WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _PACKED = f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
 
 
@@ -335,26 +348,6 @@ def clean_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.clean_excerpt(F.col("text")).alias("excerpt"))
 
 
-_RTL = r"\x{0592}-\x{05FD}\x{0602}-\x{06FD}\x{07C2}-\x{07FD}\x{0702}-\x{074D}\x{0782}-\x{07BD}\x{2D32}-\x{2D7D}"
-
-
-@query(
-    f"""
-    SELECT doc_id, CASE WHEN l AND r THEN 'bidi' WHEN l THEN 'ltr' WHEN r THEN 'rtl' END AS direction FROM (
-      SELECT doc_id, r, regexp_matches(t, '[^{_WS[1:-1]}\\x00''"\\-+?!0-9{_RTL}]') OR (NOT r AND regexp_matches(t, '[0-9]')) AS l FROM (
-        SELECT doc_id, t, regexp_matches(t, '[{_RTL}]') AS r
-        FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(1488) || chr(1489) ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '12' ELSE text END AS t FROM documents)))
-    """
-)
-def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of texts, some of which are made Hebrew or numbers."""
-    made = F.concat(
-        F.when(F.col("doc_id") % 4 == 0, chr(1488) + chr(1489)).otherwise(""),
-        F.when(F.col("doc_id") % 3 == 0, "12").otherwise(F.col("text")),
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", C.direction(made).alias("direction"))
-
-
 @query(
     f"""
     SELECT doc_id, CASE WHEN l AND r THEN 'bidi' WHEN l THEN 'ltr' WHEN r THEN 'rtl' END AS direction FROM (
@@ -363,8 +356,8 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(1488) || chr(1489) ELSE '' END || text AS t FROM documents)))
     """
 )
-def direction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As direction, but of every whole text; some have Hebrew letters put before."""
+def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every whole text; some have Hebrew letters put before."""
     made = F.concat(F.when(F.col("doc_id") % 4 == 0, chr(1488) + chr(1489)).otherwise(""), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", C.direction(made).alias("direction"))
 

@@ -117,13 +117,13 @@ def test_chains_start_from_every_page(spark, tmp_path):
             if at % 7 == 6 or at + 1 not in ids:
                 break
             at += 1
-    assert sorted(map(tuple, catalog.queries()["page_chain_whole"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert sorted(map(tuple, catalog.queries()["page_chain"](spark, str(tmp_path)).collect())) == sorted(want)
 
 
 def test_directions_of_whole_texts(spark, tmp_path):
     texts = [(0, "plain"), (3, "\u05d0\u05d1"), (6, "a \u05d0"), (9, "12"), (1, "12 x"), (12, "12")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.direction for r in catalog.queries()["direction_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.direction for r in catalog.queries()["direction"](spark, str(tmp_path)).collect()}
     assert got == {0: "bidi", 3: "rtl", 6: "bidi", 9: "ltr", 1: "ltr", 12: "rtl"}
 
 
