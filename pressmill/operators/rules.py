@@ -30,9 +30,34 @@ def built_in_rules() -> tuple[Rule, ...]:
     return tuple(load_rules())
 
 
+#: Parts of a rule, and what those with parts of their own may hold.
+_FIELDS = frozenset("domain aliases title author date_published lead_image_url dek next_page_url excerpt content extend".split())
+_PARTS = frozenset("selectors clean transforms default_cleaner timezone format value allow_multiple".split())
+
+
 def check_rule(rule: Rule) -> Rule:
+    """The rule itself, if every part of it is one that the engine reads; else ValueError."""
     if not rule.get("domain"):
         raise ValueError("Unable to add custom extractor. Invalid parameters.")
+    name = rule["domain"]
+    if unknown := rule.keys() - _FIELDS:
+        raise ValueError(f"rule {name}: no such fields: {', '.join(sorted(unknown))}")
+    extras = {f"extend.{k}": v for k, v in rule.get("extend", {}).items()}
+    for field_name, spec in [*rule.items(), *extras.items()]:
+        if field_name in ("domain", "aliases", "extend"):
+            continue
+        if isinstance(spec, dict) and (not spec or spec.keys() - _PARTS):
+            raise ValueError(f"rule {name}: {field_name} holds what is not read")
+        if not isinstance(spec, dict) and not isinstance(spec, (list, tuple)):
+            raise ValueError(f"rule {name}: {field_name} is neither a list of selectors nor an object")
+        for selector in spec if not isinstance(spec, dict) else spec.get("selectors", ()):
+            known = isinstance(selector, str) or (isinstance(selector, dict) and ({"select", "attr"} <= selector.keys() or "all" in selector))
+            if not known:
+                raise ValueError(f"rule {name}: {field_name} has a selector of no known form")
+        for change in spec.get("transforms", ()) if isinstance(spec, dict) else ():
+            kind = change[1]
+            if "tag" not in kind and kind.get("named") not in transforms.NAMED:
+                raise ValueError(f"rule {name}: no such change: {kind}")
     return rule
 
 
@@ -63,6 +88,10 @@ class RuleBook:
                 return rule
         return None
 
+    def has(self, host: str | None) -> bool:
+        """Whether a rule holds for the host."""
+        return self.find(host) is not None
+
     def detect(self, view: css.View) -> Rule | None:
         """By marks that publishing systems leave in meta tags."""
         # The marks and the rules they stand for.

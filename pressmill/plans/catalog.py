@@ -13,10 +13,10 @@ from ..operators import extract as E
 from ..operators import pages as P
 from ..operators import rules as R
 from ..operators.scoring import NEGATIVE, POSITIVE
-from . import made_pages
+from . import made_pages, views
 from .registry import NOW, dealt, oracle_sql, queries, query, table
 
-__all__ = ["NOW", "flagship", "made_pages", "oracle_sql", "queries"]
+__all__ = ["NOW", "flagship", "made_pages", "oracle_sql", "queries", "views"]
 
 
 def articles(spark: SparkSession, sf_dir: str, **opts) -> DataFrame:

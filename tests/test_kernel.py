@@ -370,3 +370,16 @@ def test_rendering():
     assert render.to_text("<p>three</p><p>four\n x</p>") == "threefour x"
     with pytest.raises(ValueError, match="Unsupported content type"):
         Options(content_type="pdf")
+
+
+def test_rules_are_checked():
+    from pressmill.operators import rules as R
+
+    assert all(R.check_rule(r) is r for r in R.built_in_rules())
+    book = R.RuleBook(({"domain": "here.org", "title": ["h1"]},))
+    assert book.has("here.org") and book.has("www.here.org") and book.has("www.nytimes.com") and not book.has("nowhere.invalid") and not book.has(None)
+    odd = [{}, {"domain": ""}, {"domain": "a", "titel": ["h1"]}, {"domain": "a", "title": "h1"}, {"domain": "a", "title": [{"select": "p"}]}]
+    odd += [{"domain": "a", "content": {"selector": ["p"]}}, {"domain": "a", "content": {"selectors": ["p"], "transforms": [["b", {"named": "none"}]]}}, {"domain": "a", "extend": {"x": {"pick": 1}}}]
+    for rule in odd:
+        with pytest.raises(ValueError):
+            R.check_rule(rule)
