@@ -22,14 +22,14 @@ from .tokens import byte_alphabet
 
 #: Words compiled into the transducer: the most frequent ones of the whole corpus.
 LEXICON_WORDS = 50_000
-#: Pieces, and words, that a worker remembers, and characters of them and of what they give; past either, it forgets all.
-MEMORY_LIMIT, MEMORY_CHARS = 400_000, 40_000_000
+#: Words that a worker remembers, and characters of what they give; past either, it forgets all.
+MEMORY_LIMIT, MEMORY_CHARS = 600_000, 40_000_000
 #: Documents looked up together, and characters of theirs.
 _GROUP, _GROUP_CHARS = 256, 4_000_000
 #: Words of more bytes are merged one by one with a heap of pairs, shorter ones in step.
 _HEAP = 48
-#: Letters beyond ASCII that are looked at in advance: Latin, Greek and Cyrillic ones, which join with marks only.
-_LETTERS = [*range(0xC0, 0x250), *range(0x386, 0x530)]
+#: Characters that are looked at in advance, whether a whole text of them can be cut at once: no marks, which join with others.
+_LOOKED_AT = [*range(1, 0x250), *range(0x386, 0x483), *range(0x48A, 0x530), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0), *range(0x3001, 0x3029), *range(0x3041, 0x3097)]
 #: White space of Unicode, as the vocabulary file's patterns see it.
 _SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _OTHER_SPLITS = "\x1c\x1d\x1e\x1f"
@@ -227,35 +227,42 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        # letters that the library makes one letter, the same beside any other of them
-        lower = {chr(c): self.normal(chr(c)) for c in _LETTERS}
-        lower = {c: low for c, low in lower.items() if len(low) == 1 and ord(low) in _LETTERS and len(self.cut("x" + low + "x")) == 1}
-        ascii_letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
-        self.letters = re.compile("[" + "".join(map(re.escape, [*lower, *ascii_letters])) + "]+").fullmatch
-        self.lower = str.maketrans(lower | {c: c.lower() for c in ascii_letters})
-
-    def parts(self, piece: str) -> list[bytes | int]:
-        """Words (as UTF-8) of a piece without white space, and the ids of special tokens in it."""
-        if piece.isascii():  # letters alone, or letters and one other mark: what the pattern would find
-            low = piece.lower()
-            if low.isalpha():
-                return [low.encode()]
-            if low[:-1].isalpha() and not low[-1].isalnum():
-                return [low[:-1].encode(), low[-1].encode()]
-        elif self.letters(piece):
-            return [piece.translate(self.lower).encode()]
-        elif piece[-1].isascii() and not piece[-1].isalnum() and self.letters(piece, 0, len(piece) - 1):
-            return [piece[:-1].translate(self.lower).encode(), piece[-1].encode()]
-        found: list[bytes | int] = []
+        fine = [chr(c) for c in _LOOKED_AT if self._agrees(chr(c))]
+        kind = lambda pattern: re.escape("".join(c for c in {x.lower() for x in fine} if regex.fullmatch(pattern, c)))
+        letters, numbers, spaces = kind(r"\p{L}"), kind(r"\p{N}"), kind(r"\s")
+        #: Texts of such characters alone, and their words once they are in lower case.
+        self.plain = re.compile(f"[{re.escape(''.join(fine))}]*").fullmatch
+        self.plain_words = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{spaces}{letters}{numbers}]+").findall
+        self.ascii_words = re.compile("[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+
+    def _agrees(self, c: str) -> bool:
+        """Whether Python and the pattern make of a character what the library does, beside letters, digits, marks and itself."""
+        text = f"x{c}x 1{c}{c}1 .{c}. '{c}' {c}"
+        low = self.normal(text)
+        return c != chr(0x3A3) and len(c.lower()) == 1 and [low[a:b] for _, (a, b) in self.cut(low)] == self.words.findall(text.lower())
+
+    def words_of(self, text: str | None) -> list[str | int]:
+        """The normalised words of a whole text, and the ids of special tokens in it."""
+        if not text:
+            return []
+        if "<|" not in text:
+            if text.isascii():
+                return self.ascii_words(text.lower())
+            if self.plain(text):
+                return self.plain_words(text.lower())
+        return [w for piece in pieces_of(text) for w in self.parts(piece)]
+
+    def parts(self, piece: str) -> list[str | int]:
+        """Words of a piece without white space, and the ids of special tokens in it."""
+        found: list[str | int] = []
         for part in self.specials.split(piece) if "<|" in piece else (piece,):
             if part in self.special:
                 found.append(self.special[part])
-                continue
-            if part.isascii():
-                found += [w.encode() for w in self.words.findall(part.lower())]
+            elif part.isascii():
+                found += self.ascii_words(part.lower())
             else:
                 part = self.normal(part)
-                found += [part[a:b].encode() for _, (a, b) in self.cut(part)]
+                found += [part[a:b] for _, (a, b) in self.cut(part)]
         return found
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
@@ -334,64 +341,43 @@ def pieces_of(text: str | None) -> list[str]:
 
 
 class Encoder:
-    """Ids and tokens of texts: pieces and words from memory, new words by the transducer or by merging."""
+    """Ids and tokens of texts: words from memory, new ones by the transducer or by merging."""
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.bpe, self.lexicon = word_bpe(vocabulary), open_lexicon(lexicon)
         self.names = {i: str(i) for i in self.bpe.token}
-        #: (decimal ids, tokens) of pieces and of words; a piece of one word has the same pair.
-        self.pieces: dict[str, tuple[str, str]] = {}
-        self.words: dict[bytes | int, tuple[str, str]] = {}
-        self.chars = self.word_chars = 0
-
-    def learn(self, texts: list[list[str]]) -> None:
-        seen: set[str] = set()
-        for pieces in texts:
-            seen.update(pieces)
-        new = seen - self.pieces.keys()
-        if len(self.pieces) + len(new) > MEMORY_LIMIT or self.chars > MEMORY_CHARS:
-            self.pieces.clear()
+        #: (decimal ids, tokens) of words.
+        self.words: dict[str | int, tuple[str, str]] = {}
+        self.chars = 0
+
+    def learn(self, texts: list[list[str | int]]) -> None:
+        seen: set[str | int] = set()
+        for words in texts:
+            seen.update(words)
+        new = seen - self.words.keys()
+        if len(self.words) + len(new) > MEMORY_LIMIT or self.chars > MEMORY_CHARS:
+            self.words.clear()
             self.chars = 0
             new = seen
-        if len(self.words) > MEMORY_LIMIT or self.word_chars > MEMORY_CHARS:
-            self.words.clear()
-            self.word_chars = 0
-        parts = self.bpe.parts
-        found = [parts(p) for p in new]
-        self.learn_words({w for own in found for w in own} - self.words.keys())
-        words, pieces = self.words, self.pieces
-        for piece, own in zip(new, found):
-            if len(own) == 1:
-                pieces[piece] = words[own[0]]
-                continue
-            if len(own) == 2:
-                (a, b), (c, d) = words[own[0]], words[own[1]]
-                pair = f"{a} {c}", f"{b} {d}"
-            else:
-                pair = " ".join([words[w][0] for w in own]), " ".join([words[w][1] for w in own])
-            pieces[piece] = pair
-            self.chars += len(pair[0]) + len(pair[1])
-        self.chars += sum(map(len, new))
-
-    def learn_words(self, new: set[bytes | int]) -> None:
-        words = [w for w in new if w.__class__ is bytes]
-        known = dict(zip(words, self.lexicon.find(words)))
-        unseen = [w for w, ids in known.items() if ids is None]
-        known.update(zip(unseen, self.bpe.merge(unseen)))
-        known.update((i, [i]) for i in new if i.__class__ is int)
-        name, token = self.names.__getitem__, self.bpe.token.__getitem__
-        for word, own in known.items():
-            self.words[word] = pair = " ".join(map(name, own)), " ".join(map(token, own))
-            self.word_chars += len(pair[0]) + len(pair[1])
-
-    def encode(self, pieces: list[str]) -> tuple[str, str]:
-        """(decimal ids, decoded text), each joined by one space, of pieces learnt before."""
-        pairs = list(map(self.pieces.__getitem__, pieces))
-        if ("", "") in pairs:
-            pairs = [p for p in pairs if p[0]]
-        if not pairs:
+        special = [w for w in new if w.__class__ is int]
+        new.difference_update(special)
+        words = list(new)
+        packed = [w.encode() for w in words]
+        ids = self.lexicon.find(packed)
+        unseen = [k for k, found in enumerate(ids) if found is None]
+        for k, found in zip(unseen, self.bpe.merge([packed[k] for k in unseen])):
+            ids[k] = found
+        name, token, chars = self.names, self.bpe.token, 0
+        for word, own in zip([*words, *special], [*ids, *([i] for i in special)]):
+            self.words[word] = a, b = " ".join([name[i] for i in own]), " ".join([token[i] for i in own])
+            chars += len(a) + len(b)
+        self.chars += chars
+
+    def encode(self, words: list[str | int]) -> tuple[str, str]:
+        """(decimal ids, decoded text), each joined by one space, of words learnt before."""
+        if not words:
             return "", ""
-        ids, tokens = zip(*pairs)
+        ids, tokens = zip(*map(self.words.__getitem__, words))
         return " ".join(ids), " ".join(tokens)
 
 
@@ -406,24 +392,21 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        pieces: Counter = Counter()
+        words: Counter = Counter()
         held = 0
 
         def tell() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for piece, n in pieces.items():
-                for w in bpe.parts(piece):
-                    if isinstance(w, bytes):
-                        words[w] += n
-            pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            own = [w for w in words if w.__class__ is str]
+            rows = [pa.array(own, pa.string()).cast(pa.binary()), pa.array([words[w] for w in own], pa.int64())]
+            words.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
-                pieces.update(pieces_of(text))
+                words.update(bpe.words_of(text))
                 held += len(text)
-                if len(pieces) > MEMORY_LIMIT or held > MEMORY_CHARS:
+                if len(words) > MEMORY_LIMIT or held > MEMORY_CHARS:
                     held = 0
                     yield tell()
         yield tell()
@@ -476,7 +459,7 @@ def _encoded(texts: Iterable[str | None], encoder: Encoder) -> Iterator[tuple[st
     group: list[list[str]] = []
     chars = 0
     for text in texts:
-        group.append(pieces_of(text))
+        group.append(encoder.bpe.words_of(text))
         chars += len(text or "")
         if len(group) == _GROUP or chars > _GROUP_CHARS:
             encoder.learn(group)

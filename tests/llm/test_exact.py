@@ -19,14 +19,16 @@ def texts():
     found = [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}X" for c in PLACES]
     found += ["".join(draw.choice(MIXED) for _ in range(draw.randint(1, 60))) for _ in range(3000)]
     found += ["".join(draw.choice("aeionrst") for _ in range(draw.randint(50, 300))) for _ in range(200)]
+    found += ["".join(chr(draw.choice(lexicon._LOOKED_AT)) for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    found += ["".join(draw.choice("éÉñÑüÜßœŒжЖЮяλΛ’“”—…«»¿¡°12 .,'\n") for _ in range(draw.randint(1, 60))) for _ in range(3000)]
     return found + ["ΣΑΣ ΛΟΓΟΣ.", "ΟΔΟΣ", "ΛΟΓΟΣ", "a" * 500, "漢字仮名" * 60, "xyzzy" * 100 + "!!!!" * 50]
 
 
 def word_ids(text):
     bpe = lexicon.word_bpe(vocabulary("word_bpe_49k.json"))
-    parts = [w for p in lexicon.pieces_of(text) for w in bpe.parts(p)]
-    merged = iter(bpe.merge([w for w in parts if isinstance(w, bytes)]))
-    return [i for w in parts for i in (next(merged) if isinstance(w, bytes) else [w])]
+    words = bpe.words_of(text)
+    merged = iter(bpe.merge([w.encode() for w in words if isinstance(w, str)]))
+    return [i for w in words for i in (next(merged) if isinstance(w, str) else [w])]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
