@@ -181,6 +181,84 @@ def made_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.md5("content").alias("digest"), "word_count")
 
 
+_SHOWN = f"replace({_BARE}, '>', '&gt;')"
+
+
+@query(
+    f"""
+    SELECT doc_id, md5('<div class="story"><p>{_LEAD}</p><h4>Part</h4>' || CASE WHEN t = '' THEN '' ELSE '<p>' || t || '</p>' END
+      || '<img alt="A" src="https://img.example.com/' || doc_id || '.jpg" width="300"><p>{_TAIL} <a href="https://www.example.com/up/x?y=1">up</a> '
+      || '<a href="https://www.example.com/news/story#here">here</a></p><iframe src="https://www.youtube.com/embed/1"></iframe></div>') AS digest
+    FROM (SELECT doc_id, regexp_replace({_SHOWN}, '{_WS}{{2,}}', ' ', 'g') AS t FROM documents)
+    """
+)
+def made_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HTML of a story: without headlines that say the title or come before the text, empty paragraphs, tiny images and spacers, strange
+    frames, rules, lists of links and attributes that show or run something; with absolute links and the text as it is."""
+    name = F.col("doc_id").cast("string")
+    page = html(
+        "<html><head><title>Story of ", name, '</title></head><body><div class="story" onclick="x()" style="a"><h1>Story of ', name, "</h1><h2>Story of ", name, "</h2><h3>Early</h3>",
+        f'<p style="b">{_LEAD}</p><p></p><p> &nbsp; </p><h4>Part</h4><p>', escaped(bare(F.col("text"))), '</p><img src="https://img.example.com/', name, '.jpg" width="300" height="200" alt="A">',
+        '<img src="https://img.example.com/dot.gif" width="1" height="1"><img src="https://img.example.com/spacer.png">', f'<p>{_TAIL} <a href="../up/x?y=1">up</a> <a href="#here">here</a></p>',
+        '<iframe src="https://ads.example.com/x"></iframe><iframe src="https://www.youtube.com/embed/1"></iframe><hr><ul class="links"><li><a href="/1">one</a></li><li><a href="/2">two</a></li></ul>',
+        "</div></body></html>",
+    )
+    got = made(table(spark, sf_dir, "documents"), "doc_id", F.lit("https://www.example.com/news/story"), page, "content")
+    return got.select("doc_id", F.md5("content").alias("digest"))
+
+
+_RULE = {
+    "domain": "example.org",
+    "title": ["h2.head"],
+    "author": {"value": "Example"},
+    "content": {"selectors": [{"all": ["p.intro", "section.body"]}], "clean": [".promo"], "transforms": [["b", {"tag": "strong"}]], "default_cleaner": False},
+    "extend": {"tags": {"selectors": ["a.tag"], "allow_multiple": True}},
+}
+
+
+@query(
+    f"""
+    SELECT doc_id, 'Head ' || doc_id AS title, 'Example' AS author, '["' || lang || '", "two"]' AS tags,
+      md5('<div><p class="intro">Intro ' || source || '</p><section class="body" id="s"><p>{_LEAD} <strong>' || {_SHOWN} || '</strong> <a href="https://news.example.org/more?a=' || doc_id
+      || '#b">more</a></p></section></div>') AS digest FROM documents
+    """
+)
+def made_rule_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's rule, found by base domain: several elements as content, a part cleaned away, a tag changed, a constant, extra fields."""
+    name = F.col("doc_id").cast("string")
+    page = html(
+        '<h2 class="head">Head ', name, '</h2><p class="intro" onclick="x">Intro ', F.col("source"), f'</p><section class="body" id="s" style="color:red"><p>{_LEAD} <b>', escaped(bare(F.col("text"))),
+        '</b> <a href="/more?a=', name, '#b">more</a></p><div class="promo">Buy</div><p></p></section><a class="tag" href="x">', F.col("lang"), '</a><a class="tag">two</a>',
+    )
+    got = made(table(spark, sf_dir, "documents"), "doc_id", F.lit("https://news.example.org/a/b"), page, "title", "author", "content", "extend", rules=(_RULE,))
+    return got.select("doc_id", "title", "author", F.col("extend")["tags"].alias("tags"), F.md5("content").alias("digest"))
+
+
+@query(
+    f"""
+    WITH t AS (SELECT *, '{_LEAD}' || {_BARE} || '{_TAIL}' AS t FROM documents), p AS (SELECT *, trim(regexp_replace(t, '{_WS}+', ' ', 'g')) AS p FROM t),
+    fit AS (SELECT *, (SELECT max(k) FROM range(0, 201) r(k) WHERE k <= length(p) AND strlen(left(p, k)) <= 200) AS k FROM p)
+    SELECT doc_id, 'No. ' || doc_id || ' & more' AS title, 'Ann Writer' AS author, 'https://img.example.com/' || doc_id || '.jpg' AS lead_image_url,
+      strftime(TIMESTAMP '2020-01-02 03:04:05' + to_hours(doc_id), '%Y-%m-%dT%H:%M:%S.%gZ') AS date_published,
+      CASE WHEN doc_id % 2 = 0 THEN 'About ' || source || ', in short.' END AS dek, md5(p) AS digest, len(string_split(p, ' '))::INTEGER AS word_count,
+      CASE WHEN strlen(p) <= 200 THEN p WHEN left(p, k) LIKE '% %' THEN regexp_extract(left(p, k), '^(.*) ', 1) || '&hellip;' ELSE left(p, k) || '&hellip;' END AS excerpt FROM fit
+    """
+)
+def made_rule_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields by a built-in rule; a dek with an address in it is none."""
+    k, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    at = F.date_format(F.timestamp_add("HOUR", k, F.lit("2020-01-02 03:04:05").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    dek = F.when(k % 2 == 0, html("About ", F.col("source"), ", in short.")).otherwise("See http://www.example.com for more.")
+    page = html(
+        '<html><head><meta name="author" content="Ann Writer"><meta property="article:published_time" content="', at, '"><meta property="og:image" content="https://img.example.com/', name, '.jpg"></head><body><h1>No. ',
+        name, ' &amp; more</h1><p class="p-dek">', dek, f'</p><div class="c-entry-content" style="x"><p>{_LEAD}</p><p>', escaped(bare(F.col("text"))),
+        f'</p><div class="aside">{_TAIL}</div><noscript><img src="https://img.example.com/x.jpg"></noscript><p>{_TAIL}</p></div></body></html>',
+    )
+    fields = ("title", "author", "date_published", "lead_image_url", "dek", "content", "word_count", "excerpt")
+    got = made(table(spark, sf_dir, "documents"), "doc_id", F.lit("https://www.theverge.com/2020/1/2/7/story"), page, *fields, content_type="text")
+    return got.withColumn("digest", F.md5("content")).drop("content")
+
+
 @query(f"SELECT doc_id, md5(trim(regexp_replace(text || '1' || source || '2' || lang, '{_WS}+', ' ', 'g'))) AS digest FROM documents")
 def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph and list as text: white space collapses, blocks add none."""
@@ -325,12 +403,12 @@ def shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("en").intersect(of("de")).subtract(of("fr"))
 
 
-@query(f"WITH h AS ({_HREFS}) SELECT page_id, count(*) AS n FROM h ANTI JOIN (SELECT href FROM h GROUP BY href HAVING count(DISTINCT page_id) > 1) r USING (href) GROUP BY page_id")
+@query(f"WITH h AS ({_HREFS}) SELECT lang, count(*) AS n, count(DISTINCT href) AS addresses FROM h ANTI JOIN (SELECT href FROM h GROUP BY href HAVING count(DISTINCT lang) > 1) r USING (href) GROUP BY lang")
 def lone_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to addresses that no other page links to, by an anti join."""
+    """Links to addresses that only pages of one language link to, by an anti join."""
     found = hrefs(spark, sf_dir)
-    spread = found.groupBy("href").agg(F.countDistinct("page_id").alias("n")).filter("n > 1")
-    return found.join(spread, "href", "left_anti").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    spread = found.groupBy("href").agg(F.countDistinct("lang").alias("langs")).filter("langs > 1")
+    return found.join(spread, "href", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("href").alias("addresses"))
 
 
 @query(
