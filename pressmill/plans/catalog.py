@@ -48,7 +48,7 @@ def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _RTL = r"\x{0592}-\x{05FD}\x{0602}-\x{06FD}\x{07C2}-\x{07FD}\x{0702}-\x{074D}\x{0782}-\x{07BD}\x{2D32}-\x{2D7D}"
 
-_TEXT = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+_TEXT = "regexp_replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')"
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1))"
 _JSON = """'"' || replace(replace({}, '\\', '\\\\'), '"', '\\"') || '"'"""
 
