@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from typing import Any
@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import css
 from . import metadata as M
 from . import rules as R
-from .cleaning import clean_article, prepare
+from .cleaning import absolute_links, clean_article, prepare
 from .html_tree import Node, parse_document, serialize
 from .next_page import next_page_url
 from .render import FORMATS, convert
@@ -63,7 +64,10 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "map<
 
 @dataclass(frozen=True)
 class Options:
-    """How articles are made: content format, fall back to generic fields, extra fields, rules, and fields wanted."""
+    """How articles are made: content format, fall back to generic fields, extra fields, rules, and fields wanted.
+
+    ``last_resort`` gets a page's html and url where the generic content is empty, and gives content or None; see densest_part.
+    """
 
     content_type: str = "html"
     fallback: bool = True
@@ -71,6 +75,7 @@ class Options:
     rules: tuple[R.Rule, ...] = ()
     fields: tuple[str, ...] = tuple(FIELDS)
     now: datetime | None = None
+    last_resort: Callable[[str, str], str | None] | None = None
 
     def __post_init__(self):
         form = self.content_type.lower()
@@ -92,7 +97,24 @@ class Options:
 # -- one page -------------------------------------------------------------------
 
 
-def generic_content(page: M.Page) -> str | None:
+def densest_part(html: str, url: str) -> str | None:
+    """A last resort: the deepest element that holds half or more of the page's text outside links, cleaned lightly."""
+    root = parse_document(html)
+    for node in css.select(root, "script, style, noscript, nav, form, head"):
+        node.detach()
+    size = lambda node: S.nbytes(S.trim(node.text())) - sum(S.nbytes(S.trim(a.text())) for a in css.select(node, "a"))
+    best, whole = root, size(root)
+    if whole <= 0:
+        return None
+    while (deeper := next((c for c in best.child_elements() if 2 * size(c) >= whole), None)) is not None:
+        best = deeper
+    if best is root:
+        return None
+    absolute_links(best, url, None)
+    return f"<div>{serialize(best)}</div>" if best.tag not in ("html", "body") else f"<div>{''.join(map(serialize, best.children))}</div>"
+
+
+def generic_content(page: M.Page, last_resort: Callable[[str, str], str | None] | None = None) -> str | None:
     """The best-scored part of the page; thin results are tried again without stripping, then without weights.
 
     A pass works on a copy of the tree. The last result stays, thin or not.
@@ -108,6 +130,8 @@ def generic_content(page: M.Page) -> str | None:
         found = serialize(tree)
         if tree.children and S.nbytes(S.trim(tree.children[0].text())) >= 100:
             break
+    if not found and last_resort is not None:
+        return last_resort(serialize(page.root), page.url) or None
     return S.normalize_spaces(found) if found else None
 
 
@@ -122,7 +146,7 @@ def article_of(page: M.Page, book: R.RuleBook, opts: Options, wanted: frozenset[
         "author": lambda: M.author(page),
         "date_published": lambda: M.date_published(page),
         "next_page_url": lambda: next_page_url(page),
-        "content": lambda: generic_content(page),
+        "content": lambda: generic_content(page, opts.last_resort),
         "lead_image_url": lambda: M.lead_image_url(page, out["content"]),
         "excerpt": lambda: M.excerpt(page, out["content"]),
         "dek": lambda: None,

@@ -383,3 +383,16 @@ def test_rules_are_checked():
     for rule in odd:
         with pytest.raises(ValueError):
             R.check_rule(rule)
+
+
+def test_last_resort(monkeypatch):
+    from pressmill.operators import extract as E
+    from pressmill.operators import rules as R
+
+    page = '<body><nav><a href="/n">many words of a menu</a></nav><div><div id=k>Plain words that are the text <a href="/x">l</a></div><p>s</p></div></body>'
+    text = '<div><div id="k">Plain words that are the text <a href="http://a.com/x">l</a></div></div>'
+    assert E.densest_part(page, "http://a.com/b") == text and E.densest_part("", "http://a.com/b") is None and E.densest_part("<a>x</a>", "http://a.com") is None
+    make = lambda **opts: E.extract_one("http://a.com/b", page, E.Options(**opts), R.RuleBook(()))["content"]
+    assert make(last_resort=E.densest_part) == make()
+    monkeypatch.setattr(E, "choose_article", lambda *a: None)
+    assert make() is None and make(last_resort=E.densest_part) == text
