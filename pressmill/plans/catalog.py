@@ -56,7 +56,7 @@ _JSON = """'"' || replace(replace({}, '\\', '\\\\'), '"', '\\"') || '"'"""
 @query(
     f"""
     SELECT page_id, '[' || list_aggregate(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: {_JSON.format(_TEXT.format("x"))}), 'string_agg', ', ') || ']' AS links,
-      {_JSON.format("trim(regexp_replace(" + _TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + ", '[\s]{2,}', ' ', 'g'))")} AS headline FROM pages
+      {_JSON.format("trim(regexp_replace(" + _TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + ", '[\\s]{2,}', ' ', 'g'))")} AS headline FROM pages
     """
 )
 def article_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
