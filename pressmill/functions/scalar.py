@@ -7,6 +7,7 @@ Unicode, which unlike str.split() leaves out the separators 1C to 1F.
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
@@ -95,6 +96,7 @@ _PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 _SAFE = "!$%&'()*+,-./:;=@_~|[]^"
 
 
+@functools.lru_cache(4096)
 def parse_url(url: str):
     """The split, normalised URL (scheme and host in lower case, no default port), or None if it has no scheme."""
     try:

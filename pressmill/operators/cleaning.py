@@ -40,6 +40,8 @@ BLOCKS = frozenset(
 _LINK = re.compile(r"https?://")
 _IMAGE = re.compile(r"\.(png|gif|jpe?g)")
 _SRCSET = re.compile(r"\.(png|gif|jpe?g)(\?\S+)?(\s*[\d.]+[wx])")
+#: Text without these reads as itself.
+_READS_OTHERWISE = re.compile("[<&\r\0]")
 #: Our mark on frames that stay; it is gone from results.
 KEEP = "kept-frame"
 
@@ -89,6 +91,8 @@ def json_src(value: str) -> str | None:
 
 def strip_tags(text: str) -> str:
     """The text of a value read as HTML; the value itself if there is none."""
+    if not _READS_OTHERWISE.search(text):
+        return S.trim(text) or text
     span = css.first(parse_fragment(f"<span>{text}</span>"), "span")
     return (S.trim(span.text()) if span is not None else "") or text
 

@@ -35,6 +35,10 @@ class Selector:
         self.loose = [c for c, tag in zip(chains, tags) if tag is None]
         self.bare = [c for c in self.loose if not any(isinstance(t, _OnAttribute) for t in c[-1][1])]
         self.tagged = {tag: [c for c, own in zip(chains, tags) if own in (tag, None)] for tag in tags if tag}
+        #: The tags, where the selector asks for nothing else.
+        self.tags = frozenset(tags) if all(len(c) == 1 and len(c[0][1]) == 1 and tag for c, tag in zip(chains, tags)) else None
+        #: What must be somewhere in the tree for each chain to match.
+        self.needs = [frozenset(t.need for _, tests in chain for t in tests if getattr(t, "need", None)) for chain in chains]
 
     def tried(self, node: Node) -> list:
         return self.tagged.get(node.tag) or (self.loose if node.attrs else self.bare)
@@ -44,8 +48,13 @@ class Selector:
 
     def select(self, nodes: Iterable[Node]) -> Iterator[Node]:
         """Those of the elements that match, in their order; what lies above them counts too."""
+        if self.tags is not None:
+            tags = self.tags
+            yield from (node for node in nodes if node.tag in tags)
+            return
+        tagged, loose, bare = self.tagged, self.loose, self.bare
         for node in nodes:
-            for chain in self.tried(node):
+            for chain in (tagged.get(node.tag) if tagged else None) or (loose if node.attrs else bare):
                 if _chain(node, chain, len(chain) - 1, None):
                     yield node
                     break
@@ -53,17 +62,17 @@ class Selector:
 
 class _Tag:
     def __init__(self, tag: str):
-        self.tag = tag
+        self.tag, self.need = tag, ("tag", tag)
 
     def __call__(self, node: Node) -> bool:
         return node.tag == self.tag
 
 
 class _OnAttribute:
-    """A test that no element without attributes passes."""
+    """A test that no element without attributes passes; ``need`` is a class or id that it asks for."""
 
-    def __init__(self, test: Test):
-        self.test = test
+    def __init__(self, test: Test, need: tuple[str, str] | None = None):
+        self.test, self.need = test, need
 
     def __call__(self, node: Node) -> bool:
         return self.test(node)
@@ -163,11 +172,11 @@ class _Reader:
             if c == ".":
                 self.at += 1
                 name = _plain(self.take(_NAME)[0])
-                tests.append(_OnAttribute(lambda n, name=name: name in n.classes()))
+                tests.append(_OnAttribute(lambda n, name=name: name in n.classes(), ("class", name)))
             elif c == "#":
                 self.at += 1
                 name = _plain(self.take(_HASH)[0])
-                tests.append(_OnAttribute(lambda n, name=name: n.attrs.get("id") == name))
+                tests.append(_OnAttribute(lambda n, name=name: n.attrs.get("id") == name, ("id", name)))
             elif c == "[":
                 tests.append(_OnAttribute(_attribute(self.take(_ATTRIBUTE))))
             elif c == ":":
@@ -291,18 +300,36 @@ def first(root: Node, selector: str) -> Node | None:
 
 
 class View:
-    """Selections below a root that does not change meanwhile: its elements are listed once."""
+    """Selections below a root that does not change meanwhile: its elements are listed once, with their tags, classes and ids.
+
+    A selector that asks for what the page has nowhere is not tried on any element.
+    """
 
     def __init__(self, root: Node):
-        self.root, self.nodes = root, list(root.elements())
+        self.root, self.nodes = root, root.element_list()
+        self.by_tag: dict[str, list[Node]] = {}
+        self.held: set[tuple[str, str]] = set()
+        for node in self.nodes:
+            self.by_tag.setdefault(node.tag, []).append(node)
+            if node.attrs:
+                self.held.update(("class", name) for name in node.classes())
+                if "id" in node.attrs:
+                    self.held.add(("id", node.attrs["id"]))
+        self.held.update(("tag", tag) for tag in self.by_tag)
+
+    def found(self, selector: str) -> Iterator[Node]:
+        compiled = compile_selector(selector)
+        if compiled is None or not any(need <= self.held for need in compiled.needs):
+            return iter(())
+        if len(compiled.tagged) == 1 and not compiled.loose:
+            return compiled.select(self.by_tag[next(iter(compiled.tagged))])
+        return compiled.select(self.nodes)
 
     def select(self, selector: str) -> list[Node]:
-        found = compile_selector(selector)
-        return list(found.select(self.nodes)) if found else []
+        return list(self.found(selector))
 
     def first(self, selector: str) -> Node | None:
-        found = compile_selector(selector)
-        return next(found.select(self.nodes), None) if found else None
+        return next(self.found(selector), None)
 
 
 def matches(node: Node, selector: str) -> bool:

@@ -91,8 +91,19 @@ class Node:
             if node.children:
                 stack.extend(node.children[::-1])
 
+    def element_list(self) -> list[Node]:
+        """All elements below, in document order."""
+        found: list[Node] = []
+        stack = [c for c in self.children[::-1] if c.tag[0] != "#"]
+        while stack:
+            node = stack.pop()
+            found.append(node)
+            if node.children:
+                stack += [c for c in node.children[::-1] if c.tag[0] != "#"]
+        return found
+
     def elements(self) -> Iterator[Node]:
-        return (n for n in self.walk() if n.tag[0] != "#")
+        return iter(self.element_list())
 
     def ancestors(self) -> Iterator[Node]:
         """Elements above, nearest first."""
@@ -119,7 +130,15 @@ class Node:
         """All text below, with nothing between blocks."""
         if self.tag == "#text":
             return self.data
-        return "".join(n.data for n in self.walk() if n.tag == "#text")
+        parts: list[str] = []
+        stack = self.children[::-1]
+        while stack:
+            node = stack.pop()
+            if node.tag == "#text":
+                parts.append(node.data)
+            elif node.children:
+                stack += node.children[::-1]
+        return "".join(parts)
 
     def classes(self) -> list[str]:
         return self.get("class").split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -213,12 +214,18 @@ def image_score(img: Node, index: int, total: int) -> float:
     return score + total / 2 - index
 
 
+@functools.lru_cache(2)
+def content_tree(content: str) -> Node:
+    """The tree of a content that several fields look at; nobody changes it."""
+    return parse_fragment(content)
+
+
 def lead_image_url(page: Page, content: str | None) -> str | None:
     raw = page.meta(IMAGE_METAS, strip=False)
     if raw is not None and (found := S.clean_lead_image_url(raw)):
         return found
-    if content is not None:
-        images = css.select(parse_fragment(content), "img")
+    if content is not None and "<img" in content.lower():
+        images = css.select(content_tree(content), "img")
         scored = [(image_score(img, k, len(images)), k, img.get("src")) for k, img in enumerate(images) if "src" in img.attrs]
         if scored:
             score, _, src = max(scored)  # the last of equal ones
@@ -243,7 +250,7 @@ def word_count(content: str | None) -> int | None:
     """Words of the first div; where that is one word, of the whole without its tags."""
     if content is None:
         return None
-    div = css.first(parse_fragment(content), "div")
+    div = css.first(content_tree(content), "div") if "<div" in content.lower() else None
     count = len(S.words(div.text())) if div is not None else 0
     if count == 1:
         count = max(1, len(S.words(re.sub(r"<[^>]*(?:>|\Z)", "", content))))
