@@ -23,7 +23,7 @@ from .tokens import byte_alphabet
 #: Words compiled into the transducer: the most frequent ones of the whole corpus.
 LEXICON_WORDS = 50_000
 #: Words that a worker remembers, and characters of what they give; past either, it forgets all.
-MEMORY_LIMIT, MEMORY_CHARS = 600_000, 40_000_000
+MEMORY_LIMIT, MEMORY_CHARS = 450_000, 32_000_000
 #: Documents looked up together, and characters of theirs.
 _GROUP, _GROUP_CHARS = 256, 4_000_000
 #: Words of more bytes are merged one by one with a heap of pairs, shorter ones in step.
