@@ -20,7 +20,7 @@ from .cleaning import absolute_links, clean_article, prepare
 from .html_tree import Node, parse_document, serialize
 from .next_page import next_page_url
 from .render import FORMATS, convert
-from .scoring import choose_article
+from .scoring import choose_article, score_page, stored
 
 FIELDS = {
     "title": "string",
@@ -298,3 +298,45 @@ def explode_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     rows = pages.select(key, "html")
     return rows.mapInArrow(work, f"`{key}` {rows.schema[0].dataType.simpleString()}, {NODE_SCHEMA}")
+
+
+def _rows_of(pages: DataFrame, key: str, schema: str, kinds: list[pa.DataType], make: Callable[[str], list[tuple]]) -> DataFrame:
+    """The rows that ``make`` gives for each page's html, with the page's key."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, html in enumerate(batch.column(1)):
+                got = make(html.as_py() or "")
+                at += [k] * len(got)
+                rows += got
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=[key, *names])
+
+    rows = pages.select(key, "html")
+    return rows.mapInArrow(work, f"`{key}` {rows.schema[0].dataType.simpleString()}, {schema}")
+
+
+def scored_nodes(pages: DataFrame, key: str = "page_id", weigh: bool = True) -> DataFrame:
+    """(place, tag, class, id, score) of every element of a page that gets a score, before an article is chosen."""
+
+    def make(html: str) -> list[tuple]:
+        root = prepare(parse_document(html))
+        score_page(root, weigh)
+        nodes = [(k, n, stored(n)) for k, n in enumerate(root.elements())]
+        return [(k, n.tag, n.get("class"), n.get("id"), score) for k, n, score in nodes if score is not None]
+
+    schema = "place int, tag string, class string, id string, score double"
+    return _rows_of(pages, key, schema, [pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64()], make)
+
+
+def scored_images(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(place, src, score) of every image with a source in a content's html, as the lead image is chosen by."""
+
+    def make(html: str) -> list[tuple]:
+        images = css.select(M.content_tree(html), "img")
+        return [(k, img.get("src"), M.image_score(img, k, len(images))) for k, img in enumerate(images) if "src" in img.attrs]
+
+    return _rows_of(pages, key, "place int, src string, score double", [pa.int32(), pa.string(), pa.float64()], make)

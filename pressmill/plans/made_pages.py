@@ -82,6 +82,49 @@ def made_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(table(spark, sf_dir, "orders"), "o_orderkey", url, page, "date_published")
 
 
+_ZONE_RULE = {
+    "domain": "example.org",
+    "date_published": {"selectors": [{"select": "time", "attr": "title"}, "time"], "timezone": "Asia/Tokyo", "format": "MMM D, YYYY [at] h:mm A"},
+}
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN strftime(date_trunc('minute', o_orderdate + to_seconds(o_orderkey % 86400)) - to_hours(9), '%Y-%m-%dT%H:%M:%S.%gZ') END AS date_published
+    FROM orders
+    """
+)
+def made_zone_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates by a rule's own format and time zone, from an attribute or a text; those of another form are none."""
+    k = F.col("o_orderkey")
+    at = F.timestamp_add("SECOND", k % 86400, F.col("o_orderdate").cast("timestamp"))
+    raw = F.when(k % 7 == 6, F.date_format(at, "yyyy.MM.dd")).otherwise(html(F.date_format(at, "MMM d, yyyy"), " at ", F.date_format(at, "h:mm a")))
+    page = F.when(k % 2 == 0, html('<p><time title="', raw, '">today</time>')).otherwise(html("<p><time>", raw, "</time>"))
+    return made(table(spark, sf_dir, "orders"), "o_orderkey", F.lit("https://example.org/a"), page, "date_published", rules=(_ZONE_RULE,), fallback=False)
+
+
+@query(
+    """
+    SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Title ' || s_name WHEN 1 THEN 'Entry ' || s_name WHEN 2 THEN 'Post ' || s_name ELSE 'Entry ' || s_name END AS title,
+      CASE s_suppkey % 4 WHEN 0 THEN 'Meta ' || s_name WHEN 2 THEN 'Name ' || s_name ELSE 'Card ' || s_name END AS author FROM supplier
+    """
+)
+def made_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules found by the marks of three publishing systems, whatever the host; a page without a mark has the generic fields."""
+    k, name = F.col("s_suppkey") % 4, F.col("s_name")
+    mark = (
+        F.when(k == 0, '<meta property="al:ios:app_name" content="Medium">')
+        .when(k == 1, '<meta name="generator" content="WordPress 6.1">')
+        .when(k == 2, '<meta name="generator" content="blogger">')
+        .otherwise('<meta name="generator" content="other">')
+    )
+    page = html(
+        "<head>", mark, '<meta name="author" content="Meta ', name, '"></head><body><h1>Title ', name, '</h1><div class="post"><h2 class="title">Post ', name, '</h2><h3 class="entry-title">Entry ', name,
+        '</h3><i class="post-author-name">Name ', name, '</i><p class="card"><span class="author vcard"><b class="fn">Card ', name, "</b></span></p></div></body>",
+    )
+    return made(table(spark, sf_dir, "supplier"), "s_suppkey", F.lit("https://www.example.com/a"), page, "title", "author", fallback=False)
+
+
 @query(
     """
     SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://img.example.com/' || p_partkey || '.jpg' WHEN 1 THEN 'https://img.example.com/photo-' || p_partkey || '.jpg'
@@ -259,6 +302,51 @@ def made_rule_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("digest", F.md5("content")).drop("content")
 
 
+def _points(text: str) -> str:
+    """SQL of a paragraph's score."""
+    return f"""(SELECT CASE WHEN strlen(b) < 25 THEN 0.0 ELSE 1.0 + length(b) - length(replace(b, ',', '')) + least(greatest(strlen(b) / 50.0 - 2.0, 0.0), 3.0)
+      - CASE WHEN b LIKE '%:' THEN 1.0 ELSE 0.0 END END FROM (SELECT regexp_replace({text}, '^{_WS}+|{_WS}+$', '', 'g') AS b))"""
+
+
+@query(
+    f"""
+    WITH s AS (SELECT doc_id, {_points("text")} AS own, {_points(f"'{_LEAD}'")} AS lead, {_points(f"'{_TAIL}'")} AS tail FROM (SELECT doc_id, {_BARE} AS text FROM documents)),
+    n AS (SELECT doc_id, unnest(['alpha', 'photo', 'story', 'body']) AS name,
+      unnest([5 + 1.25 * own, 15 + 1.25 * (lead + own), 30 + 1.25 * (lead + tail), 0.25 * (5 + 15 + 30) + 0.5 * (2 * own + 2 * lead + tail)]) AS score FROM s)
+    SELECT doc_id, name, round(score, 6)::DOUBLE AS score FROM n
+    """
+)
+def made_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of three parts of a page, by their paragraphs and classes, and what the body gets of them."""
+    text = escaped(bare(F.col("text")))
+    page = html(
+        '<body><div class="alpha"><p>', text, f'</p></div><div class="photo"><p>{_LEAD}</p><p>', text, f'</p></div><div class="story"><p>{_LEAD}</p><p>{_TAIL}</p></div></body>'
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", page.alias("html")).repartition(dealt(spark))
+    scores = E.scored_nodes(rows, "doc_id").filter("tag IN ('div', 'body')")
+    return scores.select("doc_id", F.when(F.col("tag") == "body", "body").otherwise(F.col("class")).alias("name"), F.round("score", 6).alias("score"))
+
+
+@query(
+    """
+    SELECT p_partkey, (CASE p_partkey % 3 WHEN 0 THEN 30 WHEN 1 THEN -30 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 0 END
+      + CASE p_partkey % 4 WHEN 0 THEN 50 WHEN 1 THEN 15 ELSE 0 END - CASE WHEN w <= 50 THEN 50 ELSE 0 END - CASE WHEN h <= 50 THEN 50 ELSE 0 END
+      + CASE WHEN w * h < 5000 THEN -100 ELSE floor(w * h / 1000.0 + 0.5) END + 0.5)::DOUBLE AS score
+    FROM (SELECT p_partkey, p_size * 10 AS w, p_size * 20 AS h FROM part)
+    """
+)
+def made_image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of images by their address, description, figure, caption, surroundings and size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.when(k % 3 == 0, "photo-1.jpg").when(k % 3 == 1, "icon-1.gif").otherwise("one.png")
+    image = html(
+        "<img", F.when(k % 2 == 0, ' alt="a"').otherwise(""), ' src="https://img.example.com/', name, '" width="', (size * 10).cast("string"), '" height="', (size * 20).cast("string"), '">'
+    )
+    page = F.when(k % 4 == 0, html("<figure>", image, "<figcaption>A</figcaption></figure>")).when(k % 4 == 1, html('<div class="photo">', image, "</div>")).otherwise(html("<p>", image, "</p>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", page.alias("html")).repartition(dealt(spark))
+    return E.scored_images(rows, "p_partkey").select("p_partkey", "score")
+
+
 @query(f"SELECT doc_id, md5(trim(regexp_replace(text || '1' || source || '2' || lang, '{_WS}+', ' ', 'g'))) AS digest FROM documents")
 def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph and list as text: white space collapses, blocks add none."""
