@@ -30,21 +30,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- kernel -----------------------------------------------------------------------
 
 
-@query()
-def article_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir)
-
-
-@query()
-def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir, content_type="markdown", fields=("title", "content", "word_count", "error", "message"))
-
-
-@query()
-def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir, content_type="text", fields=("content", "excerpt"))
-
-
 _WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _RTL = r"\x{0592}-\x{05FD}\x{0602}-\x{06FD}\x{07C2}-\x{07FD}\x{0702}-\x{074D}\x{0782}-\x{07BD}\x{2D32}-\x{2D7D}"
 
@@ -66,47 +51,34 @@ def article_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", F.col("extend")["links"].alias("links"), F.col("extend")["headline"].alias("headline"))
 
 
-@query()
-def article_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A caller's rule for some hosts, by their base domain."""
-    rule = {"domain": "example.com", "title": ["article h1"], "author": {"value": "Example"}, "content": {"selectors": ["article"], "clean": ["h1"], "transforms": [["b", {"tag": "strong"}]]}}
-    return articles(spark, sf_dir, rules=(rule,), fields=("title", "author", "content", "domain"))
-
-
-@query()
-def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").repartition(dealt(spark))
-    return P.extract_whole_articles(pages, E.Options(now=NOW), on_error="stop")
-
-
 #: Titles from headings: parts at splitters, with the splitters, decide what goes (a breadcrumb's ends, or a site's name).
 _TITLES = rf"""
-    WITH raw AS (SELECT page_id, url, {_HOST} AS host, {_TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS t FROM pages),
-    cut AS (SELECT *, string_split_regex(t, ': | - | \| ') AS texts, regexp_extract_all(t, ': | - | \| ') AS marks FROM raw),
-    parts AS (SELECT *, list_filter(flatten(list_transform(range(1, len(texts) + 1), lambda k: [texts[k], coalesce(marks[k], '')])), lambda x: x <> '') AS p FROM cut),
+    heads AS (SELECT page_id, url, {_HOST} AS host, {_TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS t FROM pages),
+    split AS (SELECT *, string_split_regex(t, ': | - | \| ') AS texts, regexp_extract_all(t, ': | - | \| ') AS marks FROM heads),
+    title_parts AS (SELECT *, list_filter(flatten(list_transform(range(1, len(texts) + 1), lambda k: [texts[k], coalesce(marks[k], '')])), lambda x: x <> '') AS p FROM split),
     term AS (SELECT page_id, arg_max(x, n * 1000 - place) AS term, max(n) AS n FROM (
-        SELECT page_id, x, count(*) AS n, min(place) AS place FROM (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS place FROM parts) GROUP BY page_id, x) GROUP BY page_id),
-    trail AS (SELECT page_id, CASE WHEN n >= 2 AND strlen(term) <= 4 THEN string_split(t, term) ELSE p END AS pieces FROM parts JOIN term USING (page_id)),
+        SELECT page_id, x, count(*) AS n, min(place) AS place FROM (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS place FROM title_parts) GROUP BY page_id, x) GROUP BY page_id),
+    trail AS (SELECT page_id, CASE WHEN n >= 2 AND strlen(term) <= 4 THEN string_split(t, term) ELSE p END AS pieces FROM title_parts JOIN term USING (page_id)),
     ends AS (SELECT page_id, CASE WHEN strlen(pieces[1]) > strlen(pieces[-1]) THEN pieces[1] ELSE pieces[-1] END AS longest FROM trail),
-    slugs AS (SELECT page_id, regexp_replace(host, '\.com$|\.net$|\.org$|\.co\.uk$', '') AS site, lower(replace(p[1], ' ', '')) AS a, lower(replace(p[-1], ' ', '')) AS b FROM parts),
+    slugs AS (SELECT page_id, regexp_replace(host, '\.com$|\.net$|\.org$|\.co\.uk$', '') AS site, lower(replace(p[1], ' ', '')) AS a, lower(replace(p[-1], ' ', '')) AS b FROM title_parts),
     near AS (SELECT page_id, strlen(a) > 5 AND 1 - levenshtein(regexp_replace(a, '[^ -~]', '?', 'g'), site) / greatest(length(a), length(site)) > 0.4 AS opens,
         strlen(b) >= 5 AND 1 - levenshtein(regexp_replace(b, '[^ -~]', '?', 'g'), site) / greatest(length(b), length(site)) > 0.4 AS closes FROM slugs),
     chosen AS (SELECT page_id, url, host, CASE WHEN len(p) <= 1 THEN t WHEN len(p) >= 6 THEN CASE WHEN strlen(longest) > 10 THEN longest ELSE t END
         WHEN opens THEN list_aggregate(p[3:], 'string_agg', '') WHEN closes THEN list_aggregate(p[1:len(p) - 2], 'string_agg', '') ELSE t END AS t
-      FROM parts JOIN ends USING (page_id) JOIN near USING (page_id)),
+      FROM title_parts JOIN ends USING (page_id) JOIN near USING (page_id)),
     titles AS (SELECT page_id, url, host, trim(regexp_replace(t, '[\s]{{2,}}', ' ', 'g')) AS title FROM chosen)
 """
 
 
-@query(_TITLES + "SELECT page_id, title FROM titles")
+@query(f"WITH {_TITLES} SELECT page_id, title FROM titles")
 def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles by the kernel, split ones resolved."""
     return articles(spark, sf_dir, fields=("title",))
 
 
 @query(
-    _TITLES
-    + f"""
+    f"""
+    WITH {_TITLES}
     SELECT page_id, title, NULL::VARCHAR AS author, NULL::VARCHAR AS date_published, NULL::VARCHAR AS next_page_url, url, host AS domain,
       CASE WHEN title = '' THEN NULL WHEN l AND r THEN 'bidi' WHEN l THEN 'ltr' WHEN r THEN 'rtl' END AS direction
     FROM (SELECT *, regexp_matches(title, '[{_RTL}]') AS r,
@@ -118,6 +90,109 @@ def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir, fields=("title", "author", "date_published", "next_page_url", "url", "domain", "direction"))
 
 
+
+
+def _clear(x: str) -> str:
+    """SQL of a text with its white space collapsed."""
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+def _shown(x: str) -> str:
+    """SQL of a raw text as HTML says it again."""
+    return f"replace(replace({_TEXT.format(x)}, '&', '&amp;'), '>', '&gt;')"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _packed(x: str) -> str:
+    return _bare(f"regexp_replace({x}, '{_WS}{{2,}}', ' ', 'g')")
+
+
+_FLAT = _TEXT.format("regexp_replace({}, '<[^>]*>', '', 'g')")
+_SCORE = "CASE WHEN strlen({0}) < 25 THEN 0.0 ELSE 1.0 + length({0}) - length(replace({0}, ',', '')) + least(greatest(strlen({0}) / 50.0 - 2.0, 0.0), 3.0) - CASE WHEN {0} LIKE '%:' THEN 1.0 ELSE 0.0 END END"
+_ENCODED = "list_aggregate(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE url_encode(c) END), 'string_agg', '')"
+#: The contents of the table's pages, from their parts: a menu, an advertisement, a headline, paragraphs and a footer. The article wins over the
+#: body unless the advertisement scores more than half of all paragraphs; it takes the advertisement in where that scores at all; a body keeps a menu of
+#: a middling size. No b is ever closed: every paragraph opens again those before it, three at most.
+_CONTENTS = f"""
+    raw AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+)://', 1) || '://' || {_HOST} AS site, regexp_extract(html, '<article><h1>[^<]*</h1>(.*)</article>', 1, 's') AS inner_html,
+      regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS words,
+      regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1) AS ad_html, regexp_extract(html, '<footer>([^<]*)', 1) AS foot_html FROM pages),
+    pieces AS (SELECT page_id, unnest(string_split(inner_html, '<p>')[2:]) AS piece, generate_subscripts(string_split(inner_html, '<p>')[2:], 1) AS place FROM raw),
+    said AS (SELECT page_id, place, piece LIKE '<b>%' AS opens, piece LIKE '%<br>%' AS breaks, regexp_replace(piece, '<[^>]*>', '', 'g') AS t FROM pieces),
+    deep AS (SELECT *, least(coalesce(sum(opens::INTEGER) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3)::INTEGER + opens::INTEGER AS n FROM said),
+    told AS (SELECT page_id, place, n, opens, {_bare(_TEXT.format("t"))} AS plain, {_TEXT.format("t")} AS flat, {_shown("t")} || CASE WHEN breaks THEN '<br>' ELSE '' END AS shown FROM deep),
+    gathered AS (SELECT page_id, string_agg(flat, '' ORDER BY place) AS body, sum({_SCORE.format("plain")}) AS whole, least(count(*) FILTER (WHERE opens), 3)::INTEGER AS bs,
+      string_agg('<p>' || repeat('<b>', n) || shown || repeat('</b>', n) || '</p>', '' ORDER BY place) FILTER (WHERE plain <> '') AS paragraphs,
+      string_agg(repeat('**', n) || plain || repeat('**', n), chr(10) || chr(10) ORDER BY place) FILTER (WHERE plain <> '') AS marked FROM told GROUP BY page_id),
+    parts AS (SELECT page_id, coalesce(body, '') AS body, coalesce(whole, 0) AS whole, coalesce(bs, 0) AS bs, coalesce(paragraphs, '') AS paragraphs, coalesce(marked, '') AS marked,
+      {_TEXT.format("ad_html")} AS ad, {_shown("ad_html")} AS ad_shown, {_SCORE.format("(" + _clear(_TEXT.format("ad_html")) + ")")} AS own, {_TEXT.format("foot_html")} AS foot, {_shown("foot_html")} AS foot_shown,
+      {_TEXT.format("list_aggregate(words, 'string_agg', '')")} AS nav, list_transform(range(1, len(words) + 1), lambda k: site || {_ENCODED.format("hrefs[k]")}) AS links, words
+      FROM raw LEFT JOIN gathered USING (page_id)),
+    kinds AS (SELECT *, CASE WHEN whole = 0 OR 0.5 * whole + 1.25 * own >= 1.25 * whole THEN 'body' WHEN own > 0 THEN 'both' ELSE 'article' END AS kind, strlen(nav) BETWEEN 25 AND 75 AS menu FROM parts),
+    made AS (SELECT page_id, kind, CASE kind WHEN 'body' THEN CASE WHEN menu THEN nav ELSE '' END || ad || body || foot WHEN 'both' THEN ad || body ELSE body END AS t,
+      {_packed("""CASE kind WHEN 'article' THEN '<article>' || paragraphs || '</article>' WHEN 'both' THEN '<div><p class="ad">' || ad_shown || '</p><article>' || paragraphs || '</article></div>'
+        ELSE '<div><nav>' || CASE WHEN menu THEN '<ul>' || list_aggregate(list_transform(range(1, len(words) + 1), lambda k: '<li><a href="' || links[k] || '">' || """ + _shown("words[k]") + """ || '</a></li>'), 'string_agg', '') || '</ul>' ELSE '' END
+          || '</nav><p class="ad">' || ad_shown || '</p><article>' || paragraphs || '</article><footer>' || repeat('<b>', bs) || foot_shown || repeat('</b>', bs) || '</footer></div>' END""")} AS html,
+      {_bare("""CASE kind WHEN 'article' THEN '' WHEN 'both' THEN trim(ad) || chr(10) || chr(10) ELSE CASE WHEN menu THEN
+        list_aggregate(list_transform(range(1, len(words) + 1), lambda k: '- [' || """ + _TEXT.format("words[k]") + """ || '](' || links[k] || ')' || chr(10)), 'string_agg', '') || chr(10) ELSE '' END || trim(ad) || chr(10) || chr(10) END
+        || marked || chr(10) || chr(10) || CASE kind WHEN 'body' THEN repeat('**', bs) || trim(foot) || repeat('**', bs) ELSE '' END""")} || chr(10) AS markdown,
+      '<div><article>' || replace(replace(paragraphs, '<b>', '<strong>'), '</b>', '</strong>') || '</article></div>' AS ruled FROM kinds),
+    packed AS (SELECT *, {_clear("t")} AS p FROM made),
+    fit AS (SELECT *, (SELECT max(k) FROM range(0, 201) r(k) WHERE k <= length(p) AND strlen(left(p, k)) <= 200) AS k FROM packed),
+    contents AS (SELECT page_id, kind, p, html, markdown, ruled, CASE WHEN kind = 'article' OR p = '' THEN 0 ELSE len(string_split(p, ' ')) END::INTEGER AS word_count, CASE WHEN strlen(p) <= 200 THEN p
+      WHEN left(p, k) LIKE '% %' THEN regexp_extract(left(p, k), '^(.*) ', 1) || '&hellip;' ELSE left(p, k) || '&hellip;' END AS excerpt FROM fit)
+"""
+_DIRECTION = f"""CASE WHEN title = '' THEN NULL WHEN regexp_matches(title, '[^{_WS[1:-1]}\\x00''"\\-+?!0-9{_RTL}]') OR (NOT regexp_matches(title, '[{_RTL}]') AND regexp_matches(title, '[0-9]'))
+      THEN CASE WHEN regexp_matches(title, '[{_RTL}]') THEN 'bidi' ELSE 'ltr' END WHEN regexp_matches(title, '[{_RTL}]') THEN 'rtl' END"""
+
+
+def _articles_sql(pages: str) -> str:
+    """All fields but the extra ones; these pages name no author, date, image, dek or next page."""
+    nothing = ", ".join(f"NULL::VARCHAR AS {name}" for name in ("author", "date_published", "lead_image_url", "dek", "next_page_url", "message"))
+    return f"""WITH {_CONTENTS}, {_TITLES}
+      SELECT page_id, title, html AS content, {nothing}, url, host AS domain, excerpt, word_count, {_DIRECTION} AS direction, {pages}::INTEGER AS total_pages, {pages}::INTEGER AS rendered_pages, FALSE AS error
+      FROM contents JOIN titles USING (page_id)"""
+
+
+@query(_articles_sql("NULL"))
+def article_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of every page; extra fields, of which there are none, are left out (see article_extend)."""
+    return articles(spark, sf_dir).drop("extend")
+
+
+@query(_articles_sql("1"))
+def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after following next pages, which these pages do not have (see made_chains)."""
+    pages = table(spark, sf_dir, "pages").repartition(dealt(spark))
+    return P.extract_whole_articles(pages, E.Options(now=NOW), on_error="stop").drop("extend")
+
+
+@query(f"WITH {_CONTENTS}, {_TITLES} SELECT page_id, title, markdown AS content, word_count, FALSE AS error, NULL::VARCHAR AS message FROM contents JOIN titles USING (page_id)")
+def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir, content_type="markdown", fields=("title", "content", "word_count", "error", "message"))
+
+
+@query(f"WITH {_CONTENTS} SELECT page_id, p AS content, excerpt FROM contents")
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir, content_type="text", fields=("content", "excerpt"))
+
+
+@query(
+    f"""
+    WITH {_CONTENTS}, {_TITLES}
+    SELECT page_id, title, CASE WHEN ours THEN 'Example' END AS author, CASE WHEN ours THEN ruled ELSE html END AS content, host AS domain
+    FROM (SELECT *, regexp_matches(host, '(^|[.])example[.]com$') AS ours FROM contents JOIN titles USING (page_id))
+    """
+)
+def article_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's rule for some hosts, by their base domain."""
+    rule = {"domain": "example.com", "title": ["article h1"], "author": {"value": "Example"}, "content": {"selectors": ["article"], "clean": ["h1"], "transforms": [["b", {"tag": "strong"}]]}}
+    return articles(spark, sf_dir, rules=(rule,), fields=("title", "author", "content", "domain"))
+
+
 @query(
     r"""
     SELECT page_id, 'li' AS tag, len(regexp_extract_all(html, '<li>'))::BIGINT AS n FROM pages WHERE html LIKE '%<li>%'
