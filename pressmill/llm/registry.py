@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, dac, lexicon, neighbours, packing, quality, secrets, sharding, simhash, substrings
+from . import ctph, dac, lexicon, neighbours, packing, quality, secrets, sharding, simhash, sql, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,19 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-#: Windows as text: a word goes if one over it has a text that started earlier.
-_REPEATS = r"""
-    WITH held AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM held),
-    windows AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER o AS s, count(*) OVER o AS n FROM words
-      WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
-    ranked AS (SELECT doc_id, pos, word, n = 20 AND row_number() OVER (PARTITION BY s, n = 20 ORDER BY doc_id, pos) > 1 AS again FROM windows),
-    covered AS (SELECT doc_id, pos, word, coalesce(max(CASE WHEN again THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) >= pos - 19, FALSE) AS gone FROM ranked),
-    kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS t FROM covered GROUP BY doc_id)
-    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM held LEFT JOIN kept USING (doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    """SQL of the repeats alone: the others need XXH64, CRC-32, BPE, places of matches or numeric methods that DuckDB lacks."""
-    return {"op9_fixed_block_anchors": _REPEATS}
+    """SQL where it can be said; the others need BPE, places of matches or numeric methods."""
+    return {"op8_jump_sharding": sql.SHARDS, "op9_fixed_block_anchors": sql.REPEATS, "op10_trie_simhash": sql.NEAR}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, parallelism, salted_rank
+from .common import columns_of, salted_rank
 
 #: Fixed value: multiplier of the published algorithm's 64-bit congruential generator.
 MULTIPLIER = 2862933555777941757
+#: Parts that the rows of a shard are ranked in; a fixed number, so that slots do not depend on the cluster.
+SALTS = 1024
 _HIGH, _LOW, _MASK = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF, 0xFFFFFFFF
 
 
@@ -70,7 +72,8 @@ def shard_table(docs: DataFrame, shards: int = 24) -> DataFrame:
     Size is the text's UTF-8 bytes plus 8 (null text: 8, crc of no bytes).
     Rows that share a doc_id share a shard and take slots of their own; a null
     doc_id is key 0. Other columns are ignored. An empty table gives no rows.
-    Slots are ranked in salted parts of each shard, so no task gets a shard.
+    Slots are ranked in salted parts of each shard, so no task gets a shard: by doc_id and checksum modulo SALTS
+    (each, and their sum), then doc_id (null first), checksum and size.
     """
     rows = columns_of(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -79,6 +82,7 @@ def shard_table(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     small, grown = jump_shards(F.col("doc_id"), shards)
     rows = rows.withColumn("law", F.lit("key")).withColumn("shard", small).withColumn("grown_shard", grown)
-    salt = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parallelism(docs.sparkSession)))
+    rest = lambda c: F.pmod(c, F.lit(SALTS))
+    salt = rest(F.coalesce(rest(F.col("doc_id")), F.lit(0)) + rest(F.col("text_crc32")))
     ranked = salted_rank(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], salt, "slot")
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
