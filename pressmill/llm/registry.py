@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can be said; the others need BPE, places of matches or numeric methods."""
-    return {"op8_jump_sharding": sql.SHARDS, "op9_fixed_block_anchors": sql.REPEATS, "op10_trie_simhash": sql.NEAR}
+    return {"op2_permutation_index": sql.NEAREST, "op8_jump_sharding": sql.SHARDS, "op9_fixed_block_anchors": sql.REPEATS, "op10_trie_simhash": sql.NEAR}

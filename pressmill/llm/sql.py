@@ -96,3 +96,12 @@ NEAR = rf"""
     named AS (SELECT reach.a AS fp, min(first) AS component_id FROM reach JOIN different ON different.fp = reach.b GROUP BY reach.a)
     SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN named USING (fp)
 """
+#: The exact nearest; an index that finds them all, as with few vectors, gives the same rows.
+NEAREST = """
+    WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda k: c.v[k] * q.v[k]), lambda a, b: a + b) AS score
+      FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
