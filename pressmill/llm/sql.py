@@ -15,12 +15,15 @@ REPEATS = r"""
 """
 
 
-#: CRC-32 by its table of 256 entries, and jumps as 128-bit numbers modulo 2**64.
-SHARDS = """
-    WITH RECURSIVE crcs AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS book FROM range(0, 256) r(i)),
-    held AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size,
-      list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1) AS b FROM documents),
-    sums AS (SELECT doc_id, size, xor(coalesce(list_reduce(b, lambda c, x: xor(c >> 8, book[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295), 4294967295) AS text_crc32 FROM held, crcs),
+#: The table of CRC-32 by its polynomial; the checksum of a list of bytes b; the bytes of a text.
+_CRCS = "crcs AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS book FROM range(0, 256) r(i))"
+_CRC = "xor(coalesce(list_reduce({}, lambda c, x: xor(c >> 8, book[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295), 4294967295)"
+_BYTES = "list_transform(regexp_extract_all(hex({}), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)"
+#: Sizes, checksums, and jumps as 128-bit numbers modulo 2**64.
+SHARDS = f"""
+    WITH RECURSIVE {_CRCS},
+    held AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size, {_BYTES.format("coalesce(text, '')")} AS b FROM documents),
+    sums AS (SELECT doc_id, size, {_CRC.format("b")} AS text_crc32 FROM held, crcs),
     keys AS (SELECT DISTINCT coalesce(doc_id, 0) AS k FROM documents),
     walk AS (SELECT k, ((k::HUGEINT + 18446744073709551616) % 18446744073709551616)::UHUGEINT AS h, -1::BIGINT AS b, 0::BIGINT AS j, 0 AS small, 0 AS grown FROM keys
       UNION ALL SELECT k, nh, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / (nh // 8589934592 + 1)::DOUBLE))::BIGINT, CASE WHEN j < 24 THEN j ELSE small END, CASE WHEN j < 25 THEN j ELSE grown END
@@ -69,7 +72,7 @@ _ROUND = _times(_turned(_times("x", 2), 31), 1)
 _STARTS = ", ".join(str((_SEED + k) % _WHOLE) for k in (_PRIMES[0] + _PRIMES[1], _PRIMES[1], 0, -_PRIMES[0]))
 #: (s, h) of shingles(s): the 64-bit hash of their UTF-8 bytes, by stripes of 32, then by 8, by 4 and by 1.
 _HASHES = f"""
-    bytes AS (SELECT s, octet_length(encode(s)) AS n, list_transform(regexp_extract_all(hex(s), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1) AS b FROM shingles),
+    bytes AS (SELECT s, octet_length(encode(s)) AS n, {_BYTES.format("s")} AS b FROM shingles),
     eightfold AS (SELECT s, n, b, list_transform(range(0, n // 8), lambda k: {_little_endian("8 * k", 8)}) AS w FROM bytes),
     lanes AS (SELECT *, CASE WHEN n >= 32 THEN 4 * (n // 32) ELSE 0 END AS used, list_transform(range(0, 4), lambda l: list_reduce(list_transform(range(0, n // 32), lambda k: w[4 * k + l + 1]),
       lambda v, x: {_times(_turned(_plus("v", _times("x", 2)), 31), 1)}, CAST([{_STARTS}] AS UHUGEINT[])[l + 1])) AS v FROM eightfold),
@@ -105,3 +108,50 @@ NEAREST = """
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+def _grams(x: str, run: str) -> str:
+    return f"list_transform(range(1, length({x}) - {run} + 2), lambda k: substr({x}, k, {run}))"
+
+
+def _alike(x: str, y: str) -> str:
+    """Two signatures: equal, without a common run of three (or of the shorter one), or by their edit distance."""
+    run = f"least(3, length({x}), length({y}))"
+    return f"""CASE WHEN {x} = {y} THEN 1.0::DOUBLE WHEN {run} = 0 OR NOT list_has_any({_grams(x, run)}, {_grams(y, run)}) THEN 0.0::DOUBLE
+      ELSE 1.0::DOUBLE - levenshtein({x}, {y})::DOUBLE / greatest(length({x}), length({y})) END"""
+
+
+def _near(left: str, right: str) -> str:
+    """Two fingerprints, by the signatures at sizes that both have."""
+    at = lambda when, a, b: f"CASE WHEN {when} THEN {_alike(a, b)} ELSE 0.0::DOUBLE END"
+    a, b = f"{left}.size", f"{right}.size"
+    return f"""CASE WHEN {left}.print = {right}.print THEN 1.0::DOUBLE ELSE greatest({at(f"{a} = {b}", f"{left}.one", f"{right}.one")}, {at(f"{a} = {b}", f"{left}.two", f"{right}.two")},
+      {at(f"{a} = 2 * {b}", f"{left}.one", f"{right}.two")}, {at(f"2 * {a} = {b}", f"{left}.two", f"{right}.one")}) END"""
+
+
+_LEVELS = 21
+_LAGS = [f"lag(x, {k}, 0) OVER o" for k in range(7)]
+_ROLLING = f"""({" + ".join(f"{8 - k} * {lag}" for k, lag in enumerate(_LAGS))} + {"xor(" * 6}{_LAGS[0]}::BIGINT{"".join(f", ({lag}::BIGINT << {5 * k}) & 4294967295)" for k, lag in enumerate(_LAGS) if k)}) & 4294967295"""
+_CUTS = ", ".join(f"count(*) FILTER (v % {3 << k} = {(3 << k) - 1})" for k in range(_LEVELS))
+#: Fingerprints byte by byte: rolling hashes of seven bytes, the block size by the ends it finds, a letter for each piece's checksum.
+PIECES = f"""
+    WITH {_CRCS},
+    ranked AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, count(*) OVER () AS many FROM documents),
+    pairs AS (SELECT a.doc_id, a.t, b.t AS after, left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS edited FROM ranked a JOIN ranked b ON b.r = a.r % a.many + 1),
+    texts AS (SELECT row_number() OVER () AS id, s, octet_length(encode(s)) AS n FROM (SELECT DISTINCT t AS s FROM pairs UNION SELECT edited FROM pairs)),
+    bytes AS (SELECT id, unnest(range(1, n + 1)) AS pos, unnest({_BYTES.format("s")}) AS x FROM texts),
+    rolled AS (SELECT id, pos, x, {_ROLLING} AS v FROM bytes WINDOW o AS (PARTITION BY id ORDER BY pos)),
+    counted AS (SELECT id, [{_CUTS}] AS c FROM rolled GROUP BY id),
+    begun AS (SELECT id, n, coalesce(c, [0::BIGINT]) AS c, list_filter(range(0, {_LEVELS}), lambda k: 192 * (1 << k) >= n)[1] AS k FROM texts LEFT JOIN counted USING (id)),
+    raised AS (SELECT id, c, CASE WHEN n = 0 THEN 0 ELSE list_filter(range(k, {_LEVELS}), lambda j: c[j + 1] <= 256)[1] END AS k FROM begun),
+    settled AS (SELECT id, 3 * (1 << list_reduce(range(0, {_LEVELS}), lambda j, i: CASE WHEN j > 0 AND c[j + 1] < 32 AND c[j] <= 256 THEN j - 1 ELSE j END, k)) AS size FROM raised),
+    cut AS (SELECT id, l AS level, pos, x, sum((v % (size * l) = size * l - 1)::INTEGER) OVER (PARTITION BY id, l ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS piece
+      FROM rolled JOIN settled USING (id), (VALUES (1), (2)) levels(l)),
+    pieces AS (SELECT id, level, coalesce(piece, 0) AS piece, list(x ORDER BY pos) AS b FROM cut GROUP BY id, level, coalesce(piece, 0)),
+    letters AS (SELECT id, level, piece, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', (((({_CRC.format("b")})::UBIGINT * 2654435761) >> 26) & 63)::INTEGER + 1, 1) AS letter FROM pieces, crcs),
+    signed AS (SELECT id, string_agg(letter, '' ORDER BY piece) FILTER (WHERE level = 1) AS one, string_agg(letter, '' ORDER BY piece) FILTER (WHERE level = 2) AS two FROM letters GROUP BY id),
+    prints AS (SELECT s, size, coalesce(one, '') AS one, coalesce(two, '') AS two, size || ':' || coalesce(one, '') || ':' || coalesce(two, '') AS print
+      FROM texts JOIN settled USING (id) LEFT JOIN signed USING (id))
+    SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, p.print AS fingerprint, q.print AS edited_fingerprint, {_near("p", "q")} AS near_edited, {_near("p", "z")} AS near_next
+    FROM pairs JOIN prints p ON p.s = t JOIN prints q ON q.s = edited JOIN prints z ON z.s = after
+"""
