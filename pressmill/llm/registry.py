@@ -69,4 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can be said; the others need BPE, places of matches or numeric methods."""
-    return {"op2_permutation_index": sql.NEAREST, "op7_piecewise_hashes": sql.PIECES, "op8_jump_sharding": sql.SHARDS, "op9_fixed_block_anchors": sql.REPEATS, "op10_trie_simhash": sql.NEAR}
+    return {
+        "op1_randomness_battery": sql.SECRETS,
+        "op2_permutation_index": sql.NEAREST,
+        "op7_piecewise_hashes": sql.PIECES,
+        "op8_jump_sharding": sql.SHARDS,
+        "op9_fixed_block_anchors": sql.REPEATS,
+        "op10_trie_simhash": sql.NEAR,
+    }
