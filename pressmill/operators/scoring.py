@@ -108,13 +108,15 @@ def add(node: Node, amount: float) -> None:
 
 
 def score_page(root: Node, weigh: bool) -> None:
+    view = css.View(root)  # scoring moves no node, and renames none that is selected here
     for parent_selector, child_selector in HNEWS:
-        for node in css.select(root, f"{parent_selector} {child_selector}"):
+        for node in view.select(f"{parent_selector} {child_selector}"):
             up = parent_element(node)
             if up is not None and css.matches(up, parent_selector):
                 store(up, settled_score(up) + 80.0)
+    paragraphs = view.select("p, pre")
     for _ in range(2):
-        for node in css.select(root, "p, pre"):
+        for node in paragraphs:
             if "score" in node.attrs:
                 continue
             store(node, settled_score(node, weigh))
