@@ -1,22 +1,13 @@
-"""Whole texts to token ids of a byte-level BPE file, by a bounded memory of space-led pieces."""
+"""Whole texts to token ids of a byte-level BPE file."""
 
 from __future__ import annotations
 
 import functools
 import json
-import re
-from itertools import chain
-
-import numpy as np
-
-#: Pieces kept by a worker, and the most characters of one; the memory stops growing there and misses are encoded again.
-MEMORY_LIMIT, MEMORY_PIECE = 250_000, 48
 
 #: Fixed value: the pre-tokenizer pattern of the byte-level files (see their README).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_SPACE_THEN_SPACE = re.compile(r" \s")
-
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies: character -> byte."""
@@ -29,11 +20,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Ids of texts, as the tokenizers library gives them without added special tokens.
 
-    A text is cut at single spaces; a piece with its space is encoded once and
-    remembered as little-endian unsigned 32-bit ids. That equals encoding the
-    whole, as the pattern never joins a space to what precedes it unless white
-    space follows it. Texts where it does, and texts holding a special token,
-    are encoded whole.
+    The file's merges are handed to the faster encoder of another package; nothing is remembered between texts.
     """
 
     def __init__(self, path: str):
@@ -47,33 +34,14 @@ class ByteBpe:
         order = [model["vocab"][a + b] for a, b in merges]
         if order != sorted(order):
             raise ValueError("the ids of merged tokens do not follow the order of the merges")
-        self.codec = tiktoken.Encoding("piece", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.memory: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.codec.encode(text, allowed_special="all"), "<u4").tobytes()
+        self.codec = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
         if not text:
             return b""
-        if _SPACE_THEN_SPACE.search(text) or text[0] == " " or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *pieces = text.split(" ")
-        found = list(map(self.memory.get, pieces))
-        if None in found:
-            keep = len(self.memory) < MEMORY_LIMIT
-            encode = self.codec.encode_ordinary
-            for k, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[k]
-                    ids = self.memory.get(piece)
-                    if ids is None:
-                        ids = np.array(encode(" " + piece), "<u4").tobytes()
-                        if keep and len(piece) <= MEMORY_PIECE:
-                            self.memory[piece] = ids
-                    found[k] = ids
-        return b"".join(chain((self.whole(first),), found))
+        special = "all" if any(s in text for s in self.special) else set()
+        return self.codec.encode_to_numpy(text, allowed_special=special, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @functools.lru_cache(2)
