@@ -522,8 +522,10 @@ def sketched_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS domain FROM pages")
 def streamed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles of a stream over the table's file, written by the stream and read again."""
+    """Articles of a stream over the table, one file or a folder of them, written by the stream and read again."""
     base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
-    pages = spark.readStream.schema(S.PAGE_SCHEMA).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    there = table(spark, sf_dir, "pages")  # a stream over a table that is not there would wait instead of failing
+    # As a pattern the path may be a file, which a stream's plain path may not.
+    pages = spark.readStream.schema(there.select("page_id", "url", "html").schema).parquet(f"{sf_dir}/[p]ages.parquet")
     S.write_stream(S.article_stream(pages, E.Options(now=NOW, fields=("url", "domain"))), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema("page_id long, url string, domain string").parquet(f"{base}/out")

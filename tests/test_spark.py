@@ -174,6 +174,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_streamed_articles_of_a_folder_of_files(spark, tmp_path):
+    table = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    table.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = __spark_entry__.queries()["streamed_articles"](spark, str(tmp_path))
+    assert sorted(r.page_id for r in got.collect()) == sorted(r.page_id for r in table.collect())
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        __spark_entry__.queries()["streamed_articles"](spark, str(tmp_path / "none"))
+
+
 def test_repeats_in_streams_are_dropped(spark, tmp_path):
     rows = [(1, "http://a/x#1", "h", 0), (2, "http://a/x/", "h", 5), (3, "http://a/y", "h", 6)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, s int").selectExpr("page_id", "url", "html", "timestamp_seconds(s) AS seen")
