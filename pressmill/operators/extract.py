@@ -117,12 +117,13 @@ def densest_part(html: str, url: str) -> str | None:
 def generic_content(page: M.Page, last_resort: Callable[[str, str], str | None] | None = None) -> str | None:
     """The best-scored part of the page; thin results are tried again without stripping, then without weights.
 
-    A pass works on a copy of the tree. The last result stays, thin or not.
+    A pass works on a copy of the tree. The last result stays, thin or not; where nothing has a score in it, that is the whole body, as an
+    empty article would lose texts that are merely short.
     """
     found = None
     for strip, weigh in ((True, True), (False, True), (False, False)):
         copy = page.root.clone()
-        chosen = choose_article(copy, strip, weigh)
+        chosen = choose_article(copy, strip, weigh, not (strip or weigh))
         if chosen is None:
             continue
         tree, article = chosen

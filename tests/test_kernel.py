@@ -253,6 +253,15 @@ def test_page_without_anything():
     assert extract_one(URL, None, Options(), R.RuleBook())["error"] is True
 
 
+def test_short_texts_are_kept_unless_a_laxer_pass_finds_an_article():
+    got = extract_one(URL, "<nav>Menu</nav><p>Too short.</p><p>So is this.</p>", Options(), R.RuleBook())
+    assert got["content"] == "<div><nav>Menu</nav><p>Too short.</p><p>So is this.</p></div>" and got["word_count"] == 4
+    menu = "<p>A short entry.</p>" * 10  # over 100 bytes without what the first pass strips
+    article = "A sentence that is long enough, with commas, to have a score. " * 3
+    got = extract_one(URL, f'{menu}<div class="comment"><p>{article}</p></div>', Options(), R.RuleBook())
+    assert article.strip() in got["content"] and "short entry" not in got["content"]
+
+
 def test_metadata():
     p = page(
         '<meta name="dc.title" content="T &amp; x"><meta name=byl content="By Ann"><meta name="article:published_time" content="2020-01-02">'

@@ -46,6 +46,32 @@ def test_queries_equal_their_sql(spark, duck, name):
     assert rows_of(got, names) == rows_of(want, names)
 
 
+def made_page(title, paragraph, ad, foot):
+    menu = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Ouwhea", "the", "of", "rend", "and", "threlyes"))
+    return (
+        f'<!DOCTYPE html><html lang="en"><head><title>{title}</title></head><body><nav><ul>{menu}</ul></nav><div class="ad">{ad}</div>'
+        f"<article><h1>{title}</h1><p><b>{paragraph}<br></article><footer>&copy; {foot}</footer></body></html>"
+    )
+
+
+#: Pages as the tables have them, all of whose texts are too short for a score, with a footer that is short or long.
+SHORT_PAGES = [
+    (1, "https://tionsh.example.net/en/7498", made_page("Ed, ble. En rees.", "Ed, ble. En rees.", "Ieau, uerge und.", "tionsh &middot; Ch du.")),
+    (2, "http://blog.example.org/en/43583", made_page("And en, are.", "And en, are.", "Zu und. Die der.", "blog.example.org &middot; " + "Et leau. " * 20)),
+]
+
+
+@pytest.mark.parametrize("name", ["article_full"])
+def test_pages_of_short_texts_equal_their_sql(spark, tmp_path, name):
+    spark.createDataFrame(SHORT_PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.queries()[name](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()[name]).df()
+    names = sorted(want.columns)
+    assert rows_of(got, names) == rows_of(want, names)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
