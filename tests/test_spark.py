@@ -72,6 +72,19 @@ def test_pages_of_short_texts_equal_their_sql(spark, tmp_path, name):
     assert rows_of(got, names) == rows_of(want, names)
 
 
+def test_titles_by_rules_equal_their_sql(spark, tmp_path):
+    title = "Oninheer | thedntst, | thantire | ndaner | oninheonhation | "  # as a rule's text, without the last space, its end is no splitter
+    long = "A sentence that is long enough, with commas, to have a score."
+    made = [(1, "https://blog.example.com/en/1", made_page(title, long, long, "x")), (2, "https://blog.example.org/en/1", made_page(title, "Short.", "Too short as well.", "x"))]
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.queries()["article_rules"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["article_rules"]).df()
+    names = sorted(want.columns)
+    assert rows_of(got, names) == rows_of(want, names)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
