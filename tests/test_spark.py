@@ -61,7 +61,7 @@ SHORT_PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["article_full", "article_text", "article_markdown"])
+@pytest.mark.parametrize("name", ["article_full", "article_text", "article_markdown", "whole_articles"])
 def test_pages_of_short_texts_equal_their_sql(spark, tmp_path, name):
     spark.createDataFrame(SHORT_PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = catalog.queries()[name](spark, str(tmp_path)).toPandas()
